@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import quoted
+
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -135,4 +137,4 @@ def score_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules())
 
 def filter_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that are kept, with its own columns."""
-    return score_documents(docs, trusted, rules).where("kept").select(*docs.columns)
+    return score_documents(docs, trusted, rules).where("kept").select(*quoted(docs.columns))
