@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .arrow import quoted
 
-BLANKS = " \t\n\x0b\f\r"
+NOT_BLANK = "[^ \\t\\n\\x0B\\f\\r]"
 BLANK_RUN = "[ \\t\\n\\x0B\\f\\r]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Log ratios are summed as whole numbers of this many parts, so a sum has one value in any order.
 PARTS = 1_000_000
 
@@ -30,7 +30,7 @@ class Rules:
     max_repeat_percent: int = 30
     window: int = 8
     buckets: int = 1 << 16
-    smoothing: float = 0.5
+    smoothing: float = 8.0
     min_score: float = -0.2
 
 
@@ -39,30 +39,25 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANK_RUN), lambda w: w != "")
 
 
-def ngram_buckets(words: Column, buckets: int) -> Column:
-    """Hash buckets of a text's words and word pairs, lower-cased, with a marker for case and symbols.
+MOST = 1 << 30
 
-    A word enters as itself and as its shape's pair with the next word, so that capitals and
-    attached symbols leave a trace even where each single word is rare.
-    """
-    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
-    shapes = F.transform(words, lambda w: F.translate(F.right(w, F.lit(3)), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10))
-    return F.concat(
-        F.transform(words, lambda w: bucket(w)),
-        F.zip_with(shapes, F.slice(shapes, F.lit(2), F.greatest(F.size(shapes) - 1, F.lit(0))), lambda a, b: bucket(a, F.coalesce(b, F.lit("")), F.lit(2))),
-    )
 
+def window_hashes(docs: DataFrame, words: str, window: int = 8) -> DataFrame:
+    """Adds ``__qr_h``: a 64-bit hash of each window of ``window`` words, built by doubling.
 
-def window_hashes(words: Column, window: int = 8) -> Column:
-    """A 64-bit hash of each window of ``window`` words, built by doubling."""
+    Each step is a column of its own, so that it is computed once: ``__qr_h1`` has a hash of each
+    word and ``__qr_h2`` of each word with the next one, the last word's with nothing.
+    """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    h, step = F.transform(words, lambda w: F.xxhash64(w)), 1
+    out, step = docs.withColumn("__qr_h1", F.transform(words, lambda w: F.xxhash64(w))), 1
     while step < window:
-        n = F.size(h) - step
-        h = F.when(n > 0, F.zip_with(F.slice(h, F.lit(1), F.greatest(n, F.lit(0))), F.slice(h, F.lit(step + 1), F.greatest(n, F.lit(0))), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+        h = f"__qr_h{step}"
+        out = out.withColumn(f"__qr_h{2 * step}", F.zip_with(h, F.slice(h, step + 1, MOST), lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    return h
+    # the last window - 1 of them reach beyond the text
+    out = out.withColumn("__qr_h", F.slice(f"__qr_h{window}", F.lit(1), F.greatest(F.size(words) - (window - 1), F.lit(0))))
+    return out
 
 
 def repeat_words(docs: DataFrame, words: str, window: int = 8) -> DataFrame:
@@ -72,7 +67,7 @@ def repeat_words(docs: DataFrame, words: str, window: int = 8) -> DataFrame:
     step is a column of its own, so that it is computed once.
     """
     empty = F.array().cast("array<struct<x:bigint,i:int>>")
-    out = docs.withColumn("__qr_h", window_hashes(F.col(words), window))
+    out = window_hashes(docs, words, window)
     by_hash = F.array_sort(F.transform("__qr_h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     out = out.withColumn("__qr_s", F.when(F.size(F.array_distinct("__qr_h")) == F.size("__qr_h"), empty).otherwise(by_hash))
     rest = F.greatest(F.size("__qr_s") - 1, F.lit(0))
@@ -92,16 +87,20 @@ def base_columns(docs: DataFrame, text: Column, rules: Rules) -> DataFrame:
     """Adds ``__qr_words`` and the base counts."""
     out = docs.withColumn("__qr_text", F.coalesce(text, F.lit("")))
     t = F.col("__qr_text")
-    out = out.withColumns({"__qr_words": words_of(t), "__qr_lines": F.filter(F.split(t, "\n"), lambda s: F.translate(s, BLANKS, "") != "")})
+    out = out.withColumns({"__qr_words": words_of(t), "__qr_lines": F.filter(F.split(t, "\n"), lambda s: F.rlike(s, F.lit(NOT_BLANK)))})
     out, w = repeat_words(out, "__qr_words", rules.window), F.col("__qr_words")
     return out.withColumns({
         "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__qr_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("__qr_lines") - F.size(F.array_distinct("__qr_lines"))).cast("long"),
     })
 
 
+def bucket(h: Column, rules: Rules) -> Column:
+    return F.pmod(h, F.lit(rules.buckets)).cast("int")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row with ``ratios``: for each bucket, log P(bucket | trusted) - log P(bucket | raw), in parts.
 
@@ -111,14 +110,16 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> D
     ids = trusted.select(F.col("doc_id").alias("__qr_id")).where("__qr_id is not null").distinct()
     marked = docs.select("doc_id", "text").join(ids.withColumn("__qr_in", F.lit(1)), F.col("doc_id") == F.col("__qr_id"), "left")
     words = marked.select(F.coalesce("__qr_in", F.lit(0)).alias("t"), words_of(F.coalesce("text", F.lit(""))).alias("w"))
-    seen = words.select("t", F.explode(ngram_buckets(F.col("w"), rules.buckets)).alias("b"))
+    grams = window_hashes(words, "w", 2).select("t", F.concat("__qr_h1", "__qr_h2").alias("g"))
+    seen = grams.select("t", F.explode("g").alias("h")).select("t", bucket(F.col("h"), rules).alias("b"))
     counts = seen.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     # absent buckets carry the smoothing alone
     every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
     full = counts.select("b", "raw", "target").unionByName(every).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    pad = F.lit(rules.smoothing * rules.buckets)
-    row = full.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"), (F.sum("raw") + pad).alias("nr"), (F.sum("target") + pad).alias("nt"))
-    ratio = lambda x: F.log((x["target"] + F.lit(rules.smoothing)) / F.col("nt")) - F.log((x["raw"] + F.lit(rules.smoothing)) / F.col("nr"))
+    row = full.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"), (F.sum("target") / F.sum("raw")).alias("share"))
+    row = row.select("c", F.when(F.col("share") > 0, F.col("share")).otherwise(1.0).alias("share"))
+    # pseudo-counts in proportion to the two sizes, so that a rare n-gram says little either way
+    ratio = lambda x: F.log((x["target"] + rules.smoothing * F.col("share")) / F.col("share") / (x["raw"] + F.lit(rules.smoothing)))
     return row.select(F.transform("c", lambda x: F.round(ratio(x) * PARTS).cast("long")).alias("ratios"))
 
 
@@ -127,12 +128,12 @@ def score_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules())
     # one row of rules.buckets numbers, whatever the input's size; the optimizer folds the cast to a constant
     ratios = F.split(F.lit(",".join(map(str, log_ratios(docs, trusted, rules).first()[0]))), ",").cast("array<bigint>")
     out = base_columns(docs, F.col("text"), rules)
-    out = out.withColumn("__qr_b", ngram_buckets(F.col("__qr_words"), rules.buckets))
-    total = F.aggregate("__qr_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get(ratios, b))
-    out = out.withColumn("llr", F.when(F.size("__qr_b") > 0, total / F.size("__qr_b") / PARTS).otherwise(0.0))
+    add = lambda acc, h: acc + F.get(ratios, bucket(h, rules))
+    total = F.aggregate("__qr_h2", F.aggregate("__qr_h1", F.lit(0).cast("long"), add), add)
+    out = out.withColumn("llr", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words")) / PARTS).otherwise(0.0))
     out = out.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= rules.min_score))
-    return out.drop("__qr_text", "__qr_words", "__qr_lines", "__qr_h", "__qr_s", "__qr_z", "__qr_at", "__qr_b")
+    return out.drop(*[c for c in out.columns if c.startswith("__qr_")])
 
 
 def filter_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -45,9 +45,11 @@ def test_log_ratio_is_that_of_the_two_multinomials(make_docs):
     import math
 
     docs, rules = make_docs(["a b", "a c c", None]), Q.Rules(buckets=8, smoothing=1.0)
-    b = {r[0]: r[1] for r in docs.select("doc_id", Q.ngram_buckets(Q.words_of(Q.F.coalesce("text", Q.F.lit(""))), 8)).collect()}
+    hashed = Q.window_hashes(docs.select("doc_id", Q.words_of(Q.F.coalesce("text", Q.F.lit(""))).alias("w")), "w", 2)
+    b = {r[0]: [x % 8 for x in r[1]] for r in hashed.select("doc_id", Q.F.concat("__qr_h1", "__qr_h2")).collect()}
     raw, target = Counter(x for v in b.values() for x in v), Counter(b[0])
-    ratio = [math.log((target[i] + 1) / (sum(target.values()) + 8)) - math.log((raw[i] + 1) / (sum(raw.values()) + 8)) for i in range(8)]
+    share = sum(target.values()) / sum(raw.values())
+    ratio = [math.log((target[i] + share) / (sum(target.values()) + 8 * share)) - math.log((raw[i] + 1) / (sum(raw.values()) + 8)) for i in range(8)]
     rows = {r.doc_id: r.llr for r in Q.score_documents(docs, docs.where("doc_id = 0"), rules).collect()}
     for i in (0, 1):
         assert rows[i] == pytest.approx(sum(ratio[x] for x in b[i]) / len(b[i]), abs=1e-5)
