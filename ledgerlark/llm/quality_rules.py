@@ -116,7 +116,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> D
     # absent buckets carry the smoothing alone
     every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
     full = counts.select("b", "raw", "target").unionByName(every).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    row = full.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"), (F.sum("target") / F.sum("raw")).alias("share"))
+    row = full.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"), F.try_divide(F.sum("target"), F.sum("raw")).alias("share"))
     row = row.select("c", F.when(F.col("share") > 0, F.col("share")).otherwise(1.0).alias("share"))
     # pseudo-counts in proportion to the two sizes, so that a rare n-gram says little either way
     ratio = lambda x: F.log((x["target"] + rules.smoothing * F.col("share")) / F.col("share") / (x["raw"] + F.lit(rules.smoothing)))
