@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import quality_rules
+from ledgerlark.llm import decontamination, packing, parity_join, quality_rules, secret_scan
+from ledgerlark.llm.queries import tokenizer_path
 from ledgerlark.llm.shared import written
 from ledgerlark.llm.tables import table
 
@@ -18,7 +19,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs, table(spark, sf_dir, "labels").where(F.col("quality") == 1))
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of alike documents, the one with the smallest doc_id stays."""
+    return parity_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of ``benchmark`` go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), "drop")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts."""
+    return secret_scan.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret scan", redact_secrets),
+    ("best-fit packing", pack),
+]
 
 #: The packing of the last stage depends on a tokenizer, which SQL cannot express.
 ORACLE_SQL = None

@@ -9,13 +9,17 @@ size band have the same number of blocks; a document has a sketch in its own ban
 the sizes that a smaller partner can have, and pairs meet in the smaller one's band.
 
 Before that, documents leave that cannot have a partner, because too few of their shingles occur
-in any other document. After it, pairs are verified on their sets of 64-bit shingle hashes.
-
-No pairs are made within large groups of alike documents: two rounds link every document to the
-first and the last of those that it shares blocks with, and after that only pairs that are still in
-different components are looked at, exhaustively. A block that more than ``HOT`` documents share is
-left to documents that don't have more than n / 3 other blocks in use: for any pair with one that
-has, another block will do.
+in any other document. Of its blocks, a document offers only the rarest n / 3 + 1: as at most n / 3
+are not a partner's, the rarest common block is among the offers of both. So blocks that very many
+documents share are hardly ever offered. Where documents meet, bit sketches (one bit flipped for
+each shingle) whose distance is more than the symmetric difference can be rule a pair out, and the
+others are verified on their sets of 64-bit shingle hashes.
+
+No pairs are made of the members of a group: a task goes through the documents that meet at a key
+and only looks at pairs that it has not linked through others yet; what leaves it is a forest.
+Alike documents first meet at a few keys that they are likely to share, and after that only groups
+whose members are in different components are looked at. A group of more than ``MEET`` documents is
+cut into blocks, and a task gets two of them.
 
 Defined edge cases: null, empty and blank texts have no shingles and are linked with nothing; a
 text of fewer than five words is one shingle; equal rows are linked (if they have words); an empty
@@ -28,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import Shards, components, copies, table_of_rows
-from .shared import written
+from .shared import discarded, written
 from .words import NONBLANK, WordHasher, grouped, mixed, ngrams
 
 HASHER = WordHasher(NONBLANK)
-#: A block value that more documents share is hot.
-HOT = 200
+#: A task looks at groups of about so many documents.
+MEET = 2048
+#: Bits of the sketches that rule pairs out, and the keys at which alike documents first meet.
+BITS, PROBES = 4096, 3
 #: Blocks of the sketches of small sets; larger sets have as many blocks as the smallest set of their band has shingles.
 LEAST_BLOCKS = 4096
 
@@ -82,15 +88,19 @@ def _survivors(percent: int):
         rows = []
         for doc, h in zip(ids, shingles(texts), strict=True):
             n = len(h)
-            common = int((known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h).sum()) if len(known) and n else 0
-            rows.append((doc, n, h.tobytes() if n and 100 * common >= percent * n else None))
-        return table_of_rows(rows, ("doc_id", "n", "hashes"), (pa.int64(), pa.int64(), pa.binary()))
+            common = h[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h] if len(known) else h[:0]
+            if n and 100 * len(common) >= percent * n:
+                probes = [int(mixed(common + np.uint64(k + 1)).min().view(np.int64)) for k in range(PROBES)]
+                rows.append((doc, n, h.tobytes(), probes))
+            else:
+                rows.append((doc, n, None, None))
+        return table_of_rows(rows, ("doc_id", "n", "hashes", "probes"), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))
 
     return f
 
 
 def _keys(docs: DataFrame, whole: bool) -> DataFrame:
-    """(key, band, doc_id, slack): a row for each block in use of each sketch; ``slack``: how many there are beyond n / 3."""
+    """(key, band, doc_id, used, offers): a row for each of the ``used`` blocks of each sketch; ``offers``: n / 3 + 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,58 +109,90 @@ def _keys(docs: DataFrame, whole: bool) -> DataFrame:
                 for band in range(int(np.searchsorted(sizes, -(-3 * n // 4), "right")) - 1, int(np.searchsorted(sizes, n, "right"))):
                     keys = sketch(h, band, int(sizes[band]), whole)
                     k = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(k, band, np.int32)), pa.array(np.full(k, doc)), pa.array(np.full(k, k - n // 3, np.int64))], names=["key", "band", "doc_id", "slack"])
+                    columns = (keys.view(np.int64), np.full(k, band, np.int32), np.full(k, doc), np.full(k, k, np.int32), np.full(k, n // 3 + 1, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "band", "doc_id", "used", "offers"])
 
-    return docs.select("doc_id", "n", "hashes").mapInArrow(run, "key long, band int, doc_id long, slack long")
+    return docs.select("doc_id", "n", "hashes").mapInArrow(run, "key long, band int, doc_id long, used int, offers int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have the similarity."""
-    one = docs.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"))
-    other = docs.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
+def bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One bit flipped for each hash; two sketches differ in at most as many bits as the sets do in hashes."""
+    out = np.zeros((len(sets), BITS // 64), np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = mixed(np.concatenate([np.empty(0, np.uint64), *sets])) % np.uint64(BITS)
+    np.bitwise_xor.at(out, (row, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "ha", "hb")
-    return joined.mapInArrow(run, "a long, b long")
+def forest(docs: list[int], component: np.ndarray, half: np.ndarray, crossed: bool, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever is linked among the documents and not yet in one component.
+
+    With ``crossed``, only pairs of different ``half`` are looked at.
+    """
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    docs, sets = [docs[i] for i in order], [sets[i] for i in order]
+    component, half, size, bits = component[order].copy(), half[order], size[order], bit_sketches([sets[i] for i in range(len(sets))])
+    edges = []
+    for i, s in enumerate(sets):
+        end = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
+        other = np.arange(i + 1, end)
+        other = other[(component[other] != component[i]) & ((half[other] != half[i]) if crossed else True)]
+        if len(other):
+            apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            other = other[apart * (100 + percent) <= (100 - percent) * (size[other] + size[i])]
+        for j in other.tolist():
+            if component[j] != component[i]:
+                both = len(np.intersect1d(s, sets[j], assume_unique=True))
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    edges.append((docs[i], docs[j]))
+                    component[component == component[j]] = component[i]
+    return edges
+
+
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the documents that meet: ``members`` has key, doc_id, component, hashes, docs (of the key)."""
+    halves = F.ceil(F.col("docs") / F.lit(MEET)).cast("int")
+    cut = members.withColumn("of", halves).withColumn("half", F.pmod(F.xxhash64("doc_id", "key"), F.col("of")).cast("int"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    cut = cut.select("key", F.least("half", "with").alias("x"), F.greatest("half", "with").alias("y"), "half", "doc_id", "component", "hashes")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = {}
+        for half, doc, component, raw in zip(*(table.column(c).to_pylist() for c in ("half", "doc_id", "component", "hashes")), strict=True):
+            rows[doc] = (half, component, np.frombuffer(raw, np.uint64))
+        ids = sorted(rows)
+        edges = forest(ids, np.array([rows[d][1] for d in ids]), np.array([rows[d][0] for d in ids]), table.column("x")[0] != table.column("y")[0], [rows[d][2] for d in ids], percent)
+        return table_of_rows(edges, ("a", "b"), (pa.int64(), pa.int64()))
+
+    return cut.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of ``docs`` (doc_id, n, hashes), different texts that may have partners."""
-    keys = written(_keys(docs, False), "keys")
-    if keys.where("slack <= 0").limit(1).count():  # too many shingles fell into one block: one block for each
-        keys = written(_keys(docs, True), "keys")
-    groups = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("docs > 1"), "blocks")
-    members = written(keys.join(groups, "key"), "members")
+    """(node, component) of ``docs`` (doc_id, n, hashes, probes), different texts that may have partners."""
     nodes = docs.select(F.col("doc_id").alias("node"))
-    # each document and the first and last of those that it shares blocks with
-    stars = members.select(F.col("doc_id").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a <> b")
-    stars = stars.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count()
-    # only a hint here: a pair with few common blocks is left to the exhaustive search
-    edges = written(_verified(stars.where("count > 2").select("a", "b"), docs, percent), "edges")
+    # likely keys first: most of what is alike ends up in one component
+    likely = docs.select("doc_id", F.explode("probes").alias("key"))
+    sizes = likely.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    likely = written(likely.join(written(sizes, "probes"), "key").withColumn("component", F.col("doc_id")), "likely")
+    edges = written(_met(likely.join(docs.select("doc_id", "hashes"), "doc_id"), percent), "edges")
     found = written(components(nodes, edges), "components")
-    # blocks whose documents are in different components
-    named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id")
-    mixed_blocks = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    # slack: blocks in use beyond n / 3; a document is safe if its blocks that aren't hot are more than n / 3
-    hot = members.where(F.col("docs") > HOT).groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("hot"))
-    left = named.join(written(mixed_blocks.select("key"), "open"), "key")
-    left = left.join(hot, ["doc_id", "band"], "left").withColumn("slack", F.col("slack") - F.coalesce("hot", F.lit(0)))
-    left = written(left.where((F.col("docs") <= HOT) | (F.col("slack") <= 0)).select("key", "band", "doc_id", "component", "slack"), "left")
-    a, b = left.alias("x"), left.alias("y")
-    pairs = a.join(b, F.col("x.key") == F.col("y.key")).where("x.doc_id < y.doc_id and x.component <> y.component")
-    pairs = pairs.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.band").alias("band")).agg(F.count(F.lit(1)).alias("common"), F.first(F.greatest("x.slack", "y.slack")).alias("least"))
-    # of a document's blocks at most n / 3 differ from a partner's, so the others are common
-    pairs = written(pairs.where("common >= least").select("a", "b").distinct(), "pairs")
-    more = _verified(pairs, docs, percent)
-    return components(nodes, written(edges.unionByName(more), "edges"))
+    # then the guarantee: the rarest blocks of each sketch
+    keys = written(_keys(docs, False), "keys")
+    if keys.where("used < offers").limit(1).count():  # too many shingles fell into one block: one block for each
+        keys = written(_keys(docs, True), "keys")
+    groups = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1"), "blocks")
+    shared = keys.join(groups, "key")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy("docs", "key"))
+    alone = F.col("used") - F.count(F.lit(1)).over(Window.partitionBy("doc_id", "band"))  # blocks of this document only: the rarest
+    offered = written(shared.withColumn("rank", rank + alone).where("rank <= offers").select("key", "doc_id"), "offered")
+    discarded(keys)
+    named = offered.join(found.withColumnRenamed("node", "doc_id"), "doc_id")
+    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).where("lo < hi")
+    left = named.join(written(open_keys.select("key", "docs"), "open"), "key")
+    # documents that meet at several keys meet the same ones: one task for each key, of a group that is rarely large
+    more = written(_met(left.join(docs.select("doc_id", "hashes"), "doc_id"), percent), "edges")
+    return components(nodes, edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -160,8 +202,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     _, others = copies(docs)
     shards = Shards(docs, others)
-    sets = written(shards.apply(shards.shared(shingles), _survivors(percent), "doc_id long, n long, hashes binary"), "sets")
-    found = written(links(written(sets.where("hashes is not null").distinct(), "candidates"), percent), "components")
+    sets = written(shards.apply(shards.shared(shingles), _survivors(percent), "doc_id long, n long, hashes binary, probes array<long>"), "sets")
+    found = written(links(written(sets.where("hashes is not null").dropDuplicates(["doc_id"]), "candidates"), percent), "components")
     firsts = sets.select("doc_id", "n").distinct()
     named = firsts.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     rep = docs.select("doc_id").join(others, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))

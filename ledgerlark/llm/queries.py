@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, parity_join, quality_rules, secret_scan
+from . import chat_rotation, decontamination, packing, parity_join, quality_net, quality_rules, secret_scan, toxicity, warc_revisit
 from .tables import table
 
 
+def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures made of all pages, each fetched and then found not modified, with the revisits resolved."""
+    found = warc_revisit.resolve(warc_revisit.captures(table(spark, folder, "pages")))
+    return found.select("record_id", "canonical", "outcome", "response_id", warc_revisit.header_lines(F.col("headers")).alias("headers"), F.md5("body").alias("body_md5"), F.octet_length("body").cast("long").alias("body_bytes"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document; the trusted target is what ``labels`` marks as quality 1."""
     trusted = table(spark, folder, "labels").where(F.col("quality") == 1)
@@ -46,6 +52,29 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def _fold(parts: int, of: int) -> F.Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == of
+
+
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document, learned from labels outside the held-out third."""
+    known = table(spark, folder, "labels").where(~_fold(3, 1)).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_net.score_documents(table(spark, folder, "documents"), known)
+    return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations from the perspective of each participant."""
+    return chat_rotation.rotate(table(spark, folder, "conversations"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document, learned from labels outside the held-out quarter."""
+    known = table(spark, folder, "labels").where(~_fold(4, 2)).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_documents(table(spark, folder, "documents"), known)
+    return scored.select("doc_id", _fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return parity_join.near_duplicates(table(spark, folder, "documents"))
@@ -54,9 +83,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontamination": op2_decontamination,
+    "op3_warc_revisits": op3_warc_revisits,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_chat_rotation": op8_chat_rotation,
+    "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_revisits": warc_revisit.ORACLE,
+    "op8_chat_rotation": chat_rotation.ORACLE,
+}

@@ -61,9 +61,9 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("hot", [200, 3])
-def test_matches_brute_force(make_docs, texts, monkeypatch, hot):
-    monkeypatch.setattr(P, "HOT", hot)
+@pytest.mark.parametrize("meet", [2048, 3])
+def test_matches_brute_force(make_docs, texts, monkeypatch, meet):
+    monkeypatch.setattr(P, "MEET", meet)
     monkeypatch.setattr(X, "SHARD_BYTES", 40_000)
     assert result(P.near_duplicates(make_docs(texts))) == brute(list(enumerate(texts)))
 
@@ -83,6 +83,14 @@ def test_sketches_differ_in_at_most_the_symmetric_difference():
         assert len(x - y) <= len(np.setxor1d(a, b)) and len(y - x) <= len(np.setxor1d(a, b))
 
 
+def test_bit_sketches_are_a_lower_bound():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    for k in (1, 50, 1500):
+        x, y = P.bit_sketches([a[k:], a[:-k]])
+        assert np.bitwise_count(x ^ y).sum() <= 2 * k
+
+
 def test_packed_round_trip():
     a = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 1000, dtype=np.uint64) << np.uint64(1))
     assert (X.unpacked(X.packed(a)) == a).all() and len(X.unpacked(b"")) == 0
