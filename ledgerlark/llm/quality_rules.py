@@ -108,7 +108,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> D
     the target. The result has ``rules.buckets`` numbers whatever the input's size.
     """
     ids = trusted.select(F.col("doc_id").alias("__qr_id")).where("__qr_id is not null").distinct()
-    marked = docs.select("doc_id", "text").join(ids.withColumn("__qr_in", F.lit(1)), F.col("doc_id") == F.col("__qr_id"), "left")
+    # the trusted ids grow with the corpus, so they are never broadcast: one plan at every size
+    marked = docs.select("doc_id", "text").join(ids.withColumn("__qr_in", F.lit(1)).hint("merge"), F.col("doc_id") == F.col("__qr_id"), "left")
     words = marked.select(F.coalesce("__qr_in", F.lit(0)).alias("t"), words_of(F.coalesce("text", F.lit(""))).alias("w"))
     grams = window_hashes(words, "w", 2).select("t", F.concat("__qr_h1", "__qr_h2").alias("g"))
     seen = grams.select("t", F.explode("g").alias("h")).select("t", bucket(F.col("h"), rules).alias("b"))
