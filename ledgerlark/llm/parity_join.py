@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import Shards, components, copies, table_of_rows
-from .shared import discarded, written
+from .shared import discarded, released, written
 from .words import NONBLANK, WordHasher, grouped, mixed, ngrams
 
 HASHER = WordHasher(NONBLANK)
 #: A task looks at groups of about so many documents.
 MEET = 2048
 #: Bits of the sketches that rule pairs out, and the keys at which alike documents first meet.
-BITS, PROBES = 4096, 3
+BITS, PROBES = 1024, 3
 #: Blocks of the sketches of small sets; larger sets have as many blocks as the smallest set of their band has shingles.
 LEAST_BLOCKS = 4096
 
@@ -91,10 +91,10 @@ def _survivors(percent: int):
             common = h[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h] if len(known) else h[:0]
             if n and 100 * len(common) >= percent * n:
                 probes = [int(mixed(common + np.uint64(k + 1)).min().view(np.int64)) for k in range(PROBES)]
-                rows.append((doc, n, h.tobytes(), probes))
+                rows.append((doc, n, h.tobytes(), probes, bit_sketches([h]).tobytes()))
             else:
-                rows.append((doc, n, None, None))
-        return table_of_rows(rows, ("doc_id", "n", "hashes", "probes"), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))
+                rows.append((doc, n, None, None, None))
+        return table_of_rows(rows, ("doc_id", "n", "hashes", "probes", "bits"), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))
 
     return f
 
@@ -132,7 +132,7 @@ def forest(docs: list[int], component: np.ndarray, half: np.ndarray, crossed: bo
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     docs, sets = [docs[i] for i in order], [sets[i] for i in order]
-    component, half, size, bits = component[order].copy(), half[order], size[order], bit_sketches([sets[i] for i in range(len(sets))])
+    component, half, size, bits = component[order].copy(), half[order], size[order], bit_sketches(sets)
     edges = []
     for i, s in enumerate(sets):
         end = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
@@ -150,32 +150,109 @@ def forest(docs: list[int], component: np.ndarray, half: np.ndarray, crossed: bo
     return edges
 
 
-def _met(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the documents that meet: ``members`` has key, doc_id, component, hashes, docs (of the key)."""
-    halves = F.ceil(F.col("docs") / F.lit(MEET)).cast("int")
-    cut = members.withColumn("of", halves).withColumn("half", F.pmod(F.xxhash64("doc_id", "key"), F.col("of")).cast("int"))
+def _halved(members: DataFrame, *columns: str) -> DataFrame:
+    """``members`` (key, doc_id, docs and ``columns``) dealt to tasks: all of a key's if they are few, else two blocks of them at a time."""
+    cut = members.withColumn("of", F.ceil(F.col("docs") / F.lit(MEET)).cast("int"))
+    cut = cut.withColumn("half", F.pmod(F.xxhash64("doc_id", "key"), F.col("of")).cast("int"))
     cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    cut = cut.select("key", F.least("half", "with").alias("x"), F.greatest("half", "with").alias("y"), "half", "doc_id", "component", "hashes")
+    return cut.select("key", F.least("half", "with").alias("x"), F.greatest("half", "with").alias("y"), "half", "doc_id", *columns)
+
+
+def _forests(members: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) that connect what is alike among the documents that meet: ``members`` has key, doc_id, docs, hashes."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = {}
-        for half, doc, component, raw in zip(*(table.column(c).to_pylist() for c in ("half", "doc_id", "component", "hashes")), strict=True):
-            rows[doc] = (half, component, np.frombuffer(raw, np.uint64))
+        for half, doc, raw in zip(*(table.column(c).to_pylist() for c in ("half", "doc_id", "hashes")), strict=True):
+            rows[doc] = (half, np.frombuffer(raw, np.uint64))
         ids = sorted(rows)
-        edges = forest(ids, np.array([rows[d][1] for d in ids]), np.array([rows[d][0] for d in ids]), table.column("x")[0] != table.column("y")[0], [rows[d][2] for d in ids], percent)
+        edges = forest(ids, np.arange(len(ids)), np.array([rows[d][0] for d in ids]), table.column("x")[0] != table.column("y")[0], [rows[d][1] for d in ids], percent)
         return table_of_rows(edges, ("a", "b"), (pa.int64(), pa.int64()))
 
-    return cut.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+    return _halved(members, "hashes").groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def close(component: np.ndarray, half: np.ndarray | None, size: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different components that neither their sizes nor their bit sketches rule out."""
+    found = []
+    for i in range(0, len(size), 32):  # a band of the matrix of pairs at a time
+        rows = np.arange(i, min(i + 32, len(size)))
+        may = (component[rows, None] != component) & (rows[:, None] < np.arange(len(size)))
+        may &= np.minimum(size[rows, None], size) * 100 >= np.maximum(size[rows, None], size) * percent
+        if half is not None:
+            may &= half[rows, None] != half
+        a, b = np.nonzero(may)
+        a += i
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        near = apart * (100 + percent) <= (100 - percent) * (size[a] + size[b])
+        found.append((a[near], b[near]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet and may be alike: ``members`` has key, doc_id, docs, component, n, bits."""
+    dealt = _halved(members, "component", "n", "bits")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            cuts = _cuts(table)
+            rest = table.slice(int(cuts[-2]))
+            yield from groups(table, cuts[:-1])
+        if rest is not None and rest.num_rows:
+            yield from groups(rest, _cuts(rest))
+
+    def _cuts(table: pa.Table) -> np.ndarray:
+        """Where each group of rows begins, and the end."""
+        key, x, y = (table.column(c).to_numpy() for c in ("key", "x", "y"))
+        new = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        return np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)]))
+
+    def groups(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y, half, doc, component, n = (table.column(c).to_numpy() for c in ("x", "y", "half", "doc_id", "component", "n"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(cuts.tolist(), cuts.tolist()[1:], strict=False):
+            if e - s > 1:
+                a, b = close(component[s:e], half[s:e] if x[s] != y[s] else None, n[s:e], bits[s:e], percent)
+                out_a.append(doc[s + a])
+                out_b.append(doc[s + b])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have the similarity."""
+    one = docs.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"))
+    other = docs.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of ``docs`` (doc_id, n, hashes, probes), different texts that may have partners."""
+    """(node, component) of ``docs`` (doc_id, n, hashes, probes, bits), different texts that may have partners."""
     nodes = docs.select(F.col("doc_id").alias("node"))
     # likely keys first: most of what is alike ends up in one component
     likely = docs.select("doc_id", F.explode("probes").alias("key"))
     sizes = likely.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    likely = written(likely.join(written(sizes, "probes"), "key").withColumn("component", F.col("doc_id")), "likely")
-    edges = written(_met(likely.join(docs.select("doc_id", "hashes"), "doc_id"), percent), "edges")
+    likely = written(likely.join(written(sizes, "probes"), "key"), "likely")
+    edges = written(_forests(likely.join(docs.select("doc_id", "hashes"), "doc_id"), percent), "edges")
     found = written(components(nodes, edges), "components")
     # then the guarantee: the rarest blocks of each sketch
     keys = written(_keys(docs, False), "keys")
@@ -187,11 +264,12 @@ def links(docs: DataFrame, percent: int) -> DataFrame:
     alone = F.col("used") - F.count(F.lit(1)).over(Window.partitionBy("doc_id", "band"))  # blocks of this document only: the rarest
     offered = written(shared.withColumn("rank", rank + alone).where("rank <= offers").select("key", "doc_id"), "offered")
     discarded(keys)
+    released(docs.sparkSession)
     named = offered.join(found.withColumnRenamed("node", "doc_id"), "doc_id")
     open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).where("lo < hi")
     left = named.join(written(open_keys.select("key", "docs"), "open"), "key")
-    # documents that meet at several keys meet the same ones: one task for each key, of a group that is rarely large
-    more = written(_met(left.join(docs.select("doc_id", "hashes"), "doc_id"), percent), "edges")
+    pairs = written(_pairs(left.join(docs.select("doc_id", "n", "bits"), "doc_id"), percent), "pairs")
+    more = written(_verified(pairs, docs, percent), "edges")
     return components(nodes, edges.unionByName(more))
 
 
@@ -202,7 +280,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     _, others = copies(docs)
     shards = Shards(docs, others)
-    sets = written(shards.apply(shards.shared(shingles), _survivors(percent), "doc_id long, n long, hashes binary, probes array<long>"), "sets")
+    shared = shards.shared(shingles)
+    released(docs.sparkSession)
+    sets = written(shards.apply(shared, _survivors(percent), "doc_id long, n long, hashes binary, probes array<long>, bits binary"), "sets")
+    discarded(shared)
+    released(docs.sparkSession)
     found = written(links(written(sets.where("hashes is not null").dropDuplicates(["doc_id"]), "candidates"), percent), "components")
     firsts = sets.select("doc_id", "n").distinct()
     named = firsts.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,6 +26,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs that are over, which it does once their plans are garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discarded(df: DataFrame) -> None:
     """Removes the files of a table that ``written`` made and that nothing will read again."""
     spark = df.sparkSession

@@ -88,7 +88,7 @@ def test_bit_sketches_are_a_lower_bound():
     a = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
     for k in (1, 50, 1500):
         x, y = P.bit_sketches([a[k:], a[:-k]])
-        assert np.bitwise_count(x ^ y).sum() <= 2 * k
+        assert np.bitwise_count(x ^ y).sum() <= 2 * k  # k hashes on either side
 
 
 def test_packed_round_trip():
