@@ -56,12 +56,12 @@ class Shards:
         # as many buckets as shards, a power of two: a bucket gets as many hashes as a shard has
         self.bits = max(3, (self.shards - 1).bit_length())
         shard = F.pmod(F.xxhash64("doc_id"), F.lit(self.shards)).cast("int").alias("shard")
-        whole = docs.select(shard, F.col("doc_id").cast("long"), "text", F.lit(None).cast("binary").alias("known"))
-        marks = others.select(shard, F.col("doc_id").cast("long"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("known"))
+        whole = docs.select(shard, F.col("doc_id").cast("long"), "text")
+        marks = others.select(shard, F.col("doc_id").cast("long"), F.lit(None).cast("string").alias("text"))
         self.rows = whole.unionByName(marks)
 
-    def shared(self, hashes: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
-        """(shard, known): the hashes of the shard's documents that occur in two documents or more."""
+    def shared(self, hashes: Callable[[list[bytes]], list[np.ndarray]], hot: int = 1 << 62) -> DataFrame:
+        """(shard, known, hot): the hashes of the shard's documents that occur in two documents or more, and those in more than ``hot``."""
         bits = self.bits
 
         def send(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -73,35 +73,51 @@ class Shards:
             shard, rows = table.column(0)[0].as_py(), []
             for bucket, (a, b) in enumerate(zip(cuts.tolist(), ends, strict=True)):
                 if b > a:
-                    rows.append((bucket, shard, packed(values[a:b]), np.packbits(counts[a:b] > 1).tobytes()))
-            return _table(rows, ("bucket", "shard", "hashes", "several"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+                    rows.append((bucket, shard, packed(values[a:b]), zstandard.ZstdCompressor(level=1).compress(counts[a:b].astype(np.uint32).tobytes())))
+            return _table(rows, ("bucket", "shard", "hashes", "counts"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
         def answer(table: pa.Table) -> pa.Table:
             shard = table.column(1).to_pylist()
             sent = [unpacked(x) for x in table.column(2).to_pylist()]
-            several = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).astype(bool) for m, h in zip(table.column(3).to_pylist(), sent, strict=True)]
-            every = np.sort(np.concatenate(sent))
-            twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(h[m] for h, m in zip(sent, several, strict=True))]))
-            rows = []
+            counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32) for x in table.column(3).to_pylist()]
+            every, place = np.unique(np.concatenate(sent), return_inverse=True)
+            # whole numbers below 2 ** 53 are exact here
+            total = np.bincount(place, np.concatenate(counts), len(every))
+            rows, at = [], 0
             for s, h in zip(shard, sent, strict=True):
-                known = h[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h] if len(twice) else h[:0]
-                if len(known):
-                    rows.append((s, packed(known)))
-            return _table(rows, ("shard", "known"), (pa.int32(), pa.binary()))
+                t = total[place[at : at + len(h)]]
+                at += len(h)
+                if (t > 1).any():
+                    rows.append((s, packed(h[t > 1]), packed(h[t > hot])))
+            return _table(rows, ("shard", "known", "hot"), (pa.int32(), pa.binary(), pa.binary()))
 
-        sent = self.rows.drop("known").groupBy("shard").applyInArrow(send, "bucket int, shard int, hashes binary, several binary")
-        return written(sent.groupBy("bucket").applyInArrow(answer, "shard int, known binary"), "shared")
+        sent = self.rows.groupBy("shard").applyInArrow(send, "bucket int, shard int, hashes binary, counts binary")
+        return written(sent.groupBy("bucket").applyInArrow(answer, "shard int, known binary, hot binary"), "shared")
 
-    def apply(self, shared: DataFrame, f: Callable[[list[int], list[bytes], np.ndarray], Iterable[tuple]], schema: str) -> DataFrame:
-        """Rows that ``f(doc_ids, texts, known hashes)`` gives for each shard."""
+    def apply(self, answers: DataFrame, f: Callable[..., pa.Table], schema: str) -> DataFrame:
+        """Rows that ``f(doc_ids, texts, answer rows, shard)`` gives for each shard; ``answers``: shard and what else there is."""
+        names = [c for c in answers.columns if c != "shard"]
+        own = self.rows.select("*", *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in names])
+        told = answers.select("shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *names)
 
         def run(table: pa.Table) -> pa.Table:
             ids, texts = _texts(table)
-            known = np.sort(np.concatenate([np.empty(0, np.uint64), *(unpacked(x) for x in table.column(3).to_pylist() if x is not None)]))
-            return f(ids, texts, known)
+            columns = [table.column(3 + k).to_pylist() for k in range(len(names))]
+            return f(ids, texts, [r for r in zip(*columns, strict=True) if any(x is not None for x in r)], table.column(0)[0].as_py())
 
-        answers = shared.select("shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "known")
-        return self.rows.unionByName(answers).groupBy("shard").applyInArrow(run, schema)
+        return own.unionByName(told).groupBy("shard").applyInArrow(run, schema)
+
+
+def merged(parts: Iterable[bytes]) -> np.ndarray:
+    """The hashes of several packed runs, sorted."""
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *map(unpacked, parts)]))
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _texts(table: pa.Table) -> tuple[list[int], list[bytes]]:

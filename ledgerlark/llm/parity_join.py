@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import Shards, components, copies, table_of_rows
+from .exchange import Shards, among, components, copies, merged, table_of_rows
 from .shared import discarded, released, written
 from .words import NONBLANK, WordHasher, grouped, mixed, ngrams
 
@@ -84,11 +84,11 @@ def sketch(hashes: np.ndarray, band: int, least: int, whole: bool = False) -> np
 
 
 def _survivors(percent: int):
-    def f(ids: list[int], texts: list[bytes], known: np.ndarray) -> pa.Table:
-        rows = []
+    def f(ids: list[int], texts: list[bytes], answers: list[tuple], shard: int) -> pa.Table:
+        known, rows = merged(a[0] for a in answers), []
         for doc, h in zip(ids, shingles(texts), strict=True):
             n = len(h)
-            common = h[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h] if len(known) else h[:0]
+            common = h[among(h, known)]
             if n and 100 * len(common) >= percent * n:
                 probes = [int(mixed(common + np.uint64(k + 1)).min().view(np.int64)) for k in range(PROBES)]
                 rows.append((doc, n, h.tobytes(), probes, bit_sketches([h]).tobytes()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontamination, packing, parity_join, quality_net, quality_rules, secret_scan, toxicity, warc_revisit
+from . import chat_rotation, decontamination, packing, parity_join, quality_net, quality_rules, secret_scan, suffix_dedup, toxicity, warc_revisit
 from .tables import table
 
 
@@ -17,6 +17,12 @@ def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("record_id", "canonical", "outcome", "response_id", warc_revisit.header_lines(F.col("headers")).alias("headers"), F.md5("body").alias("body_md5"), F.octet_length("body").cast("long").alias("body_bytes"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that earlier documents have."""
+    found = suffix_dedup.dedup(table(spark, folder, "documents"), bytes_too=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document; the trusted target is what ``labels`` marks as quality 1."""
     trusted = table(spark, folder, "labels").where(F.col("quality") == 1)
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontamination": op2_decontamination,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
