@@ -55,20 +55,23 @@ class Shards:
         self.shards = max(-(-total // SHARD_BYTES), some, 1)
         # as many buckets as shards, a power of two: a bucket gets as many hashes as a shard has
         self.bits = max(3, (self.shards - 1).bit_length())
+        # hashes are cut to so many bits that about one in 2 ** 14 looks shared and isn't, which costs work but nothing else
+        self.drop = 64 - min(64, (total // 4).bit_length() + 14)
         shard = F.pmod(F.xxhash64("doc_id"), F.lit(self.shards)).cast("int").alias("shard")
         whole = docs.select(shard, F.col("doc_id").cast("long"), "text")
         marks = others.select(shard, F.col("doc_id").cast("long"), F.lit(None).cast("string").alias("text"))
         self.rows = whole.unionByName(marks)
 
     def shared(self, hashes: Callable[[list[bytes]], list[np.ndarray]], hot: int = 1 << 62) -> DataFrame:
-        """(shard, known, hot): the hashes of the shard's documents that occur in two documents or more, and those in more than ``hot``."""
-        bits = self.bits
+        """(shard, known, hot): the hashes of the shard's documents that occur in two documents or more, and those in more than ``hot``, all without their last ``drop`` bits."""
+        bits, drop = self.bits, np.uint64(self.drop)
+        top = np.uint64(64 - self.drop - bits)
 
         def send(table: pa.Table) -> Iterator[pa.RecordBatch]:
             ids, texts = _texts(table)
-            per_doc = [np.unique(h) for h in hashes(texts)]
+            per_doc = [np.unique(h >> drop) for h in hashes(texts)]
             values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *per_doc]), return_counts=True)
-            cuts = np.searchsorted(values, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            cuts = np.searchsorted(values, np.arange(1 << bits, dtype=np.uint64) << top)
             ends = [*cuts.tolist()[1:], len(values)]
             shard, rows = table.column(0)[0].as_py(), []
             for bucket, (a, b) in enumerate(zip(cuts.tolist(), ends, strict=True)):

@@ -83,12 +83,12 @@ def sketch(hashes: np.ndarray, band: int, least: int, whole: bool = False) -> np
     return mixed(np.bitwise_xor.reduceat(bits, at) * np.uint64(0x9E3779B97F4A7C15) + blocks[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band + 1))
 
 
-def _survivors(percent: int):
+def _survivors(percent: int, drop: int):
     def f(ids: list[int], texts: list[bytes], answers: list[tuple], shard: int) -> pa.Table:
         known, rows = merged(a[0] for a in answers), []
         for doc, h in zip(ids, shingles(texts), strict=True):
             n = len(h)
-            common = h[among(h, known)]
+            common = h[among(h >> np.uint64(drop), known)]
             if n and 100 * len(common) >= percent * n:
                 probes = [int(mixed(common + np.uint64(k + 1)).min().view(np.int64)) for k in range(PROBES)]
                 rows.append((doc, n, h.tobytes(), probes, bit_sketches([h]).tobytes()))
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shards = Shards(docs, others)
     shared = shards.shared(shingles)
     released(docs.sparkSession)
-    sets = written(shards.apply(shared, _survivors(percent), "doc_id long, n long, hashes binary, probes array<long>, bits binary"), "sets")
+    sets = written(shards.apply(shared, _survivors(percent, shards.drop), "doc_id long, n long, hashes binary, probes array<long>, bits binary"), "sets")
     discarded(shared)
     released(docs.sparkSession)
     found = written(links(written(sets.where("hashes is not null").dropDuplicates(["doc_id"]), "candidates"), percent), "components")

@@ -64,8 +64,11 @@ def substring_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mixed((sums[end] - sums[start]) * powers(INVERSE, len(b) + 1)[start] + (end - start).astype(np.uint64))
 
 
-def strings_of(texts: list[bytes], known: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes, np.ndarray, Strings]]:
-    """For ranges of texts: first, end, their bytes together, the offset of each, and the strings that may occur elsewhere."""
+def strings_of(texts: list[bytes], known: np.ndarray, hot: np.ndarray, length: int, drop: int) -> Iterator[tuple[int, int, bytes, np.ndarray, Strings]]:
+    """For ranges of texts: first, end, their bytes together, the offset of each, and the strings that may occur elsewhere.
+
+    ``known`` and ``hot`` are sorted anchors without their last ``drop`` bits.
+    """
     for i, j in grouped(texts):
         raw = b"".join(texts[i:j])
         sizes = np.fromiter(map(len, texts[i:j]), np.int64, j - i)
@@ -78,9 +81,9 @@ def strings_of(texts: list[bytes], known: np.ndarray, hot: np.ndarray, length: i
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))) if len(anchor) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         run = np.cumsum(new) - 1
-        met, very = among(anchor[first], known)[run] & inside, None
+        met, very = among(anchor[first] >> np.uint64(drop), known)[run] & inside, None
         if len(hot):
-            very = among(anchor[first], hot)[run]
+            very = among(anchor[first] >> np.uint64(drop), hot)[run]
         # a run of windows that are kept and share an anchor; hot windows one by one
         begins = met & (new | np.concatenate(([True], ~met[:-1])) | (very if very is not None else False))
         start = np.flatnonzero(begins)
@@ -123,11 +126,11 @@ def refined(b: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return order, begins
 
 
-def _send(length: int, bits: int):
+def _send(length: int, bits: int, drop: int):
     def f(ids: list[int], texts: list[bytes], answers: list[tuple], shard: int) -> pa.Table:
         shard_known, hot = merged(a[0] for a in answers), merged(a[1] for a in answers)
         hashes, places, docs, parts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
-        for i, _, raw, _, s in strings_of(texts, shard_known, hot, length):
+        for i, _, raw, _, s in strings_of(texts, shard_known, hot, length, drop):
             hashes.append(s.hash)
             places.append(s.anchor)
             docs.append(s.doc + i)
@@ -201,11 +204,11 @@ def _blocks(start: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> Iterato
         i = j
 
 
-def _cut(length: int, bits: int, bytes_too: bool):
+def _cut(length: int, bits: int, drop: int, bytes_too: bool):
     def f(ids: list[int], texts: list[bytes], answers: list[tuple], shard: int) -> pa.Table:
         known, hot = merged(a[0] for a in answers if a[0] is not None), merged(a[1] for a in answers if a[1] is not None)
         told = {a[2]: unpacked_ids(a[3]) for a in answers if a[2] is not None}
-        groups = list(strings_of(texts, known, hot, length))
+        groups = list(strings_of(texts, known, hot, length, drop))
         h = np.concatenate([np.empty(0, np.uint64), *(g[4].hash for g in groups)])
         place = np.concatenate([np.empty(0, np.uint64), *(g[4].anchor for g in groups)])
         count = np.concatenate([np.empty(0, np.int64), *(g[4].end - g[4].start - length + 1 for g in groups)])
@@ -250,11 +253,11 @@ def dedup(docs: DataFrame, length: int = 50, bytes_too: bool = True) -> DataFram
     known = shards.shared(lambda texts: anchors(texts, length), HOT)
     released(spark)
     bits = shards.bits
-    sent = shards.apply(known, _send(length, bits), "shard int, bucket int, strings binary, lengths binary, docs binary")
+    sent = shards.apply(known, _send(length, bits, shards.drop), "shard int, bucket int, strings binary, lengths binary, docs binary")
     told = written(sent.groupBy("bucket").applyInArrow(_merge(length), "shard int, bucket int, smallest binary"), "told")
     released(spark)
     answers = known.unionByName(told, allowMissingColumns=True).select("shard", "known", "hot", "bucket", "smallest")
-    firsts = shards.apply(answers, _cut(length, bits, bytes_too), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    firsts = shards.apply(answers, _cut(length, bits, shards.drop, bytes_too), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     # a text equal to an earlier document's goes altogether if it is long enough to hold a string
     copy = docs.join(others.select("doc_id"), "doc_id")
     gone = F.octet_length("text") >= length
