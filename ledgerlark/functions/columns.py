@@ -37,11 +37,15 @@ def type_name(code: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
-def contract_name_of(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def contract_name_of(column: str) -> Column:
     """Contract names; for rows that are already filtered and limited."""
-    for s in ids:
-        yield s.map(lambda b: contract_name(bytes(b)) if b is not None else None)
+
+    def names(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in ids:
+            yield s.map(lambda b: contract_name(bytes(b)) if b is not None else None)
+
+    names.__annotations__ = {"ids": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(names, "string")(column)
 
 
 def key_bytes(ledger: Column, tx: Column, op: Column, event: Column) -> Column:

@@ -162,6 +162,8 @@ class LedgerChunks(DataSource):
 def read_ledgers(spark: SparkSession, folder: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """The ledgers start..end of a folder (all of them by default)."""
     spark.dataSource.register(LedgerChunks)
+    # a reader that takes filters is refused without this
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("ledger_chunks")
     if start is not None:
         chunk_of(start)
