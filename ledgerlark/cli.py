@@ -47,6 +47,7 @@ def parser() -> Parser:
         one.add_argument(f"--topic{i}", default="")
     one.add_argument("--limit", type=int, default=0)
     one.add_argument("--compare-db", default="", help="another store to run the query on, and compare")
+    one.add_argument("--compare-format", default="", choices=["", *settings.FORMATS], help="how the other store keeps events; both are tables here, so it is only checked")
     one = commands.add_parser("stats", help="statistics of the store")
     one.add_argument("--top", type=int, default=10)
     return top
@@ -71,7 +72,7 @@ def open_store(spark: SparkSession, s: settings.Settings, path: str = "") -> Eve
 
 def run_ingest(spark: SparkSession, s: settings.Settings, a: argparse.Namespace) -> int:
     store = open_store(spark, s)
-    report = ingest(spark, s.ledger_dir, store, a.start, a.end, excluded(s.exclude_topic0), progress_path=s.progress_file, compact=s.final_compaction)
+    report = ingest(spark, s.ledger_dir, store, a.start, a.end, excluded(s.exclude_topic0), progress_path=s.progress_file, compact=s.final_compaction, keep_raw=s.event_format == "xdr")
     text = summary(report, store)
     print(text, file=sys.stderr)
     with open(f"summary_{time.strftime('%Y%m%d_%H%M%S')}.txt", "w") as f:

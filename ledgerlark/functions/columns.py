@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import EVENT_TYPES, KEY_BYTES, LEDGERS_A_CHUNK, LEDGERS_A_SEGMENT
-from .codec import contract_name
+from .codec import Event, contract_name, decode_blob, encode_blob
 
 
 def segment(ledger: Column) -> Column:
@@ -57,3 +57,29 @@ def key_bytes(ledger: Column, tx: Column, op: Column, event: Column) -> Column:
 def percentile_of_sorted(values: Column, percent: float) -> Column:
     """The element of a sorted array at ``floor((n - 1) * percent / 100)``."""
     return F.get(values, F.floor((F.size(values) - 1) * F.lit(percent) / 100).cast("int"))
+
+
+def blob(contract: str, topics: str, event_type: str, data: str) -> Column:
+    """Event blobs (see ``codec``), for exchange with programs that keep events so."""
+
+    def encode(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for c, t, k, d in rows:
+            yield pd.Series([encode_blob(Event(bytes(a) if a is not None else None, [bytes(x) for x in b], int(e), bytes(f or b""))) for a, b, e, f in zip(c, t, k, d, strict=True)])
+
+    encode.__annotations__ = {"rows": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(encode, "binary")(contract, topics, event_type, data)
+
+
+def event_of_blob(raw: str) -> Column:
+    """The parts of event blobs; null for one that cannot be read."""
+
+    def decode(blobs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in blobs:
+            found = [decode_blob(bytes(b)) if b is not None else None for b in s]
+            yield pd.DataFrame({
+                "contract_id": [e and e.contract_id for e in found], "topics": [e and e.topics for e in found],
+                "event_type": pd.array([e and e.event_type for e in found], "Int64"), "data": [e and e.data for e in found],
+            })
+
+    decode.__annotations__ = {"blobs": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(decode, "contract_id binary, topics array<binary>, event_type int, data binary")(raw)

@@ -63,3 +63,8 @@ def matching_ledgers(index: DataFrame, query: Filter, lo: int, hi: int) -> DataF
 def merge(*parts: DataFrame) -> DataFrame:
     """The union of index tables."""
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def merge_counts(*parts: DataFrame) -> DataFrame:
+    """Count tables added up, value by value."""
+    return reduce(DataFrame.unionByName, parts).groupBy("type", "value").agg(F.sum("count").alias("count"))

@@ -53,6 +53,9 @@ class Progress:
 @dataclass
 class IngestReport:
     ledgers: int = 0
+    transactions: int = 0
+    transaction_events: int = 0
+    operation_events: int = 0
     extracted: int = 0
     excluded: int = 0
     stored: int = 0
@@ -62,7 +65,8 @@ class IngestReport:
     def lines(self) -> list[str]:
         return [
             f"ledgers: {self.ledgers} ({rate(self.ledgers, self.seconds):.1f}/s)",
-            f"events extracted: {self.extracted} ({rate(self.extracted, self.seconds):.1f}/s)",
+            f"transactions with events: {self.transactions}",
+            f"events extracted: {self.extracted} ({rate(self.extracted, self.seconds):.1f}/s), {self.transaction_events} of transactions, {self.operation_events} of operations",
             f"events stored: {self.stored}, kept out: {self.excluded}",
             f"ledger bytes: {size(self.raw_bytes)} ({size(rate(self.raw_bytes, self.seconds))}/s)",
             f"time: {duration(self.seconds)}",
@@ -79,7 +83,7 @@ def resolve_range(folder: str, start: int = 0, end: int = 0) -> tuple[int, int]:
     return lo, hi
 
 
-def ingest(spark: SparkSession, folder: str, store: EventStore, start: int = 0, end: int = 0, exclude_topic0: Sequence[bytes] = (), decoder: Callable[[bytes], Iterable] = framed, progress_path: str = "", step: int = 1_000_000, compact: bool = False) -> IngestReport:
+def ingest(spark: SparkSession, folder: str, store: EventStore, start: int = 0, end: int = 0, exclude_topic0: Sequence[bytes] = (), decoder: Callable[[bytes], Iterable] = framed, progress_path: str = "", step: int = 1_000_000, compact: bool = False, keep_raw: bool = True) -> IngestReport:
     """Ledgers start..end into ``store``, ``step`` of them a job; the watermark follows each finished job."""
     lo, hi = resolve_range(folder, start, end)
     progress, report, began = Progress(progress_path, lo, hi), IngestReport(), time.time()
@@ -88,7 +92,7 @@ def ingest(spark: SparkSession, folder: str, store: EventStore, start: int = 0,
         while at <= hi:
             upto = min(hi, (at // step + 1) * step - 1)
             ledgers = read_ledgers(spark, folder, at, upto)
-            _one(ledgers, store, report, exclude_topic0, decoder)
+            _one(ledgers, store, report, exclude_topic0, decoder, keep_raw)
             store.set_watermark(upto)
             progress.update(upto - lo + 1, events=report.extracted)
             at = upto + 1
@@ -102,13 +106,11 @@ def ingest(spark: SparkSession, folder: str, store: EventStore, start: int = 0,
     return report
 
 
-def _one(ledgers: DataFrame, store: EventStore, report: IngestReport, exclude_topic0: Sequence[bytes], decoder: Callable) -> None:
+def _one(ledgers: DataFrame, store: EventStore, report: IngestReport, exclude_topic0: Sequence[bytes], decoder: Callable, keep_raw: bool) -> None:
     n, size_ = ledgers.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
     if n:
-        done = store.upsert(extract(ledgers, decoder), exclude_topic0)
-        report.extracted += done["extracted"]
-        report.excluded += done["excluded"]
-        report.stored += done["stored"]
+        for name, count in store.upsert(extract(ledgers, decoder, keep_raw=keep_raw), exclude_topic0).items():
+            setattr(report, name, getattr(report, name) + count)
     report.ledgers += n
     report.raw_bytes += size_
 

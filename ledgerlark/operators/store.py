@@ -92,11 +92,15 @@ class EventStore:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}"), name
 
     def upsert(self, events: DataFrame, exclude_topic0: Sequence[bytes] = ()) -> dict[str, int]:
-        """Stores events; of those with one key the one written last stays. Returns how many came and how many were kept out."""
+        """Stores events; of those with one key the one written last stays. Returns counts of what came, what was kept out and what was stored."""
         new = events.select(*EVENTS.names)
-        counted = new.agg(F.count(F.lit(1)).alias("n"), F.count_if(~without_topic0(exclude_topic0)).alias("out"))
+        stage = lambda name: F.count_if(F.coalesce(F.col("event_stage") == name, F.lit(False)))
+        counted = new.agg(
+            F.count(F.lit(1)).alias("extracted"), F.count_if(~without_topic0(exclude_topic0)).alias("excluded"), stage("transaction").alias("transaction_events"), stage("operation").alias("operation_events"),
+            F.count_distinct("ledger_sequence", "transaction_index").alias("transactions"),
+        )
         new, staged = self._staged(new.where(without_topic0(exclude_topic0)))
-        n, out = counted.first()
+        done = counted.first().asDict()
         touched = [r[0] for r in new.select("segment_id").distinct().collect()]  # one number a million ledgers
         if touched:
             old = self.events().where(F.col("segment_id").isin(touched))
@@ -110,7 +114,7 @@ class EventStore:
             self._write(build_index(kept, self.indexes), "ledger_index", ("prefix", "key32", "ledger_sequence"))
             self._fs().delete(self._path(second), True)
         self._fs().delete(self._path(staged), True)
-        return {"extracted": n, "excluded": out, "stored": n - out}
+        return done | {"stored": done["extracted"] - done["excluded"]}
 
     def rebuild(self) -> None:
         """Makes the index and the table of counts anew from the events."""

@@ -18,6 +18,7 @@ class Settings:
     ledger_dir: str = ""
     store_path: str = ""
     network: str = ""
+    network_passphrase: str = ""
     event_format: str = "xdr"
     compression: str = "zstd"
     max_ledger_range: int = DEFAULT_RANGE
@@ -44,7 +45,7 @@ class Settings:
 
 #: Where each setting stands in the file: section and key.
 PLACES = {
-    "ledger_dir": ("source", "ledger_dir"), "network": ("source", "network"),
+    "ledger_dir": ("source", "ledger_dir"), "network": ("source", "network"), "network_passphrase": ("source", "network_passphrase"),
     "store_path": ("storage", "db_path"), "event_format": ("storage", "event_format"), "compression": ("storage", "compression"),
     "max_ledger_range": ("query", "max_ledger_range"), "default_limit": ("query", "default_limit"),
     "batch_size": ("ingestion", "batch_size"), "final_compaction": ("ingestion", "final_compaction"), "progress_file": ("ingestion", "progress_file"),

@@ -141,6 +141,22 @@ def test_output(events):
     assert "contract_id" not in next(o for o in out if o["ledger_sequence"] == 3 and o["transaction_index"] == 0) and out[0]["type"] == "contract" and "\n" not in out[0]["data"] and out[0]["successful"] is False
 
 
+def test_blob_columns(spark, events):
+    from ledgerlark.functions.columns import blob, event_of_blob
+
+    back = events.select(*KEY, event_of_blob(blob("contract_id", "topics", "event_type", "data")).alias("e")).select(*KEY, "e.*")
+    want = events.select(*KEY, "contract_id", "topics", F.col("event_type").cast("int").alias("event_type"), "data")
+    assert compare(back, want).first().same
+    assert spark.sql("select X'00' as b union all select null").select(event_of_blob("b").alias("e")).where("e.topics is not null").count() == 0
+
+
+def test_counts_add_up(events):
+    halves = [ix.build_counts(events.where(c)) for c in ("ledger_sequence < 10", "ledger_sequence >= 10")]
+    assert compare(ix.merge_counts(*halves), ix.build_counts(events)).first().same
+    parts = [ix.build_index(events.where(c)) for c in ("ledger_sequence < 10", "ledger_sequence >= 3")]
+    assert compare(ix.merge(*parts), ix.build_index(events)).first().same
+
+
 def plan(df):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 

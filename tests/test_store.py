@@ -39,7 +39,7 @@ def test_upsert_is_idempotent_and_the_last_write_wins(spark, tmp_path):
     assert store.events().count() == 0 and store.watermark() == 0 and store.stats()["min_ledger"] is None
     # the second half lies in another segment, which the later upsert leaves alone
     far = events.withColumns({"ledger_sequence": F.col("ledger_sequence") + 3_000_000, "segment_id": F.col("segment_id") + 3})
-    assert store.upsert(events.unionByName(far)) == {"extracted": 2000, "excluded": 0, "stored": 2000}
+    assert store.upsert(events.unionByName(far)) == {"extracted": 2000, "excluded": 0, "stored": 2000, "transaction_events": 0, "operation_events": 2000, "transactions": 2000}
     before, untouched = rows(store.events()), sorted(glob.glob(f"{store.path}/events/segment_id=3/*.parquet"))
     store.upsert(events)
     assert rows(store.events()) == before and store.counts().agg(F.sum("count")).first()[0] == 6000
@@ -86,6 +86,7 @@ def test_ingest(spark, tmp_path, folder):
     store, progress = EventStore(spark, str(tmp_path / "s")), str(tmp_path / "p.json")
     report = ingest(spark, folder, store, progress_path=progress, step=10_000, compact=True)
     assert (report.ledgers, report.extracted, report.stored) == (24, 72, 72)
+    assert (report.transactions, report.transaction_events, report.operation_events) == (24, 24, 48)
     # the transaction's event and the operation's first have one key: the later stays
     assert store.events().count() == 48 and {r.event_stage for r in store.events().collect()} == {"operation"}
     assert store.watermark() == 20_001
