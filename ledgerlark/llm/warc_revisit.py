@@ -58,18 +58,22 @@ def resolve(records: DataFrame) -> DataFrame:
     seen = slim.withColumn("own", F.last(full, ignorenulls=True).over(within)).where("kind <> 'response'")
     found = seen.join(ends, ["canonical", "block"]).select("record_id", F.coalesce("own", "carried")["record_id"].alias("response_id"))
     found = written(found.distinct(), "revisits")
-    whole = records.where("kind = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), F.col("etag").alias("__etag"), F.col("modified").alias("__modified"), F.col("headers").alias("__headers"), F.col("body").alias("__body"))
-    joined = records.join(found, "record_id", "left").join(whole, "response_id", "left")
+    whole = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("etag").alias("__etag"), F.col("modified").alias("__modified"), F.col("headers").alias("__headers"), F.col("body").alias("__body"))
+    if records.where("kind = 'response'").groupBy("record_id").count().where("count > 1").limit(1).count():
+        whole = whole.dropDuplicates(["response_id"])  # equal records; bodies are only sorted for that if there are any
+    # responses stay as they are; only for revisits are bodies moved, once, by one plan at every size
+    answered = records.where("kind = 'response'").withColumns({"response_id": F.lit(None).cast(records.schema["record_id"].dataType), "outcome": F.lit("response")})
+    joined = records.where("kind <> 'response' or kind is null").join(found, "record_id", "left").join(whole.hint("merge"), "response_id", "left")
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(True))
     some = F.coalesce(F.col("etag").isNotNull() & F.col("__etag").isNotNull() | F.col("modified").isNotNull() & F.col("__modified").isNotNull(), F.lit(False))
     agrees = some & same("etag", "__etag") & same("modified", "__modified")
-    outcome = F.when(F.col("kind") == "response", "response").when(F.col("response_id").isNull(), "missing").when(agrees, "resolved").otherwise("mismatch")
-    joined = joined.withColumn("outcome", outcome)
-    update = F.map_filter(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: k.isin(*PERMITTED))
-    kept = F.map_filter(F.coalesce("__headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: ~F.array_contains(F.map_keys(update), k))
+    joined = joined.withColumn("outcome", F.when(F.col("response_id").isNull(), "missing").when(agrees, "resolved").otherwise("mismatch"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    update = F.map_filter(F.coalesce("headers", none), lambda k, _: k.isin(*PERMITTED))
+    kept = F.map_filter(F.coalesce("__headers", none), lambda k, _: ~F.array_contains(F.map_keys(update), k))
     resolved = F.col("outcome") == "resolved"
     out = joined.withColumns({"headers": F.when(resolved, F.map_concat(kept, update)).otherwise(F.col("headers")), "body": F.when(resolved, F.col("__body")).otherwise(F.col("body"))})
-    return out.drop("__etag", "__modified", "__headers", "__body")
+    return out.drop("__etag", "__modified", "__headers", "__body").unionByName(answered)
 
 
 def header_lines(headers: Column) -> Column:
