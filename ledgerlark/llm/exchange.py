@@ -40,7 +40,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, others) of equal texts: ``rep`` has the smallest doc_id of each digest that occurs twice or more;
     ``others`` (doc_id, rep) has the documents that are not the first of their class."""
-    digests = docs.select("doc_id", F.md5("text").alias("digest"))
+    digests = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
     classes = written(digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("digest", "rep"), "classes")
     others = digests.join(classes, "digest").where("doc_id > rep").select("doc_id", "rep").distinct()
     return classes, written(others, "copies")

@@ -23,7 +23,8 @@ cut into blocks, and a task gets two of them.
 
 Defined edge cases: null, empty and blank texts have no shingles and are linked with nothing; a
 text of fewer than five words is one shingle; equal rows are linked (if they have words); an empty
-table gives an empty result; other columns are not read. ``doc_id`` identifies a text.
+table gives an empty result; rows without doc_id are left out; other columns are not read. ``doc_id``
+identifies a text.
 """
 
 from __future__ import annotations
@@ -274,10 +275,10 @@ def links(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """For each row of ``docs``: doc_id, n_shingles, component_id."""
+    """For each row of ``docs`` that has an id: doc_id, n_shingles, component_id."""
     if not 75 <= percent <= 100:
         raise ValueError("the sketches are made for similarities of 0.75 or more")
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     _, others = copies(docs)
     shards = Shards(docs, others)
     shared = shards.shared(shingles)

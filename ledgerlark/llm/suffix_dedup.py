@@ -20,7 +20,8 @@ go by their own hash instead.
 
 Defined edge cases: null texts count as empty; texts shorter than ``length`` keep everything; equal
 rows (one doc_id) keep what a smaller doc_id does not have; matches never cross documents; an empty
-table gives no row; other columns are not read. ``doc_id`` identifies a text.
+table gives no row; rows without doc_id are left out; other columns are not read. ``doc_id`` identifies
+a text.
 """
 
 from __future__ import annotations
@@ -247,7 +248,7 @@ def _cut(length: int, bits: int, drop: int, bytes_too: bool):
 def dedup(docs: DataFrame, length: int = 50, bytes_too: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the remaining bytes, null unless ``bytes_too``) of every row of ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     _, others = copies(docs)
     shards = Shards(docs, others)
     known = shards.shared(lambda texts: anchors(texts, length), HOT)

@@ -112,6 +112,8 @@ def test_one_of_each_and_empty(make_docs, texts, spark):
     want = brute(list(enumerate(texts)))
     assert sorted(r.doc_id for r in P.one_of_each(docs).collect()) == sorted({c for _, c in want.values()})
     assert P.near_duplicates(make_docs([])).count() == 0
+    unnamed = make_docs(["a b c", "a b c"]).withColumn("doc_id", P.F.expr("nullif(doc_id, 0)"))
+    assert [tuple(r) for r in P.near_duplicates(unnamed).collect()] == [(1, 1, 1)]
     twice = make_docs(["a b c d e f", "x"]).union(make_docs(["a b c d e f", "x"]))
     assert sorted(map(tuple, P.near_duplicates(twice).collect())) == [(0, 2, 0), (0, 2, 0), (1, 1, 1), (1, 1, 1)]
 

@@ -60,6 +60,7 @@ def test_kept_bytes_and_empty(make_docs):
     docs = make_docs(["p" * 60 + "1", "a" + "p" * 55 + "b", "q"])
     assert {r.doc_id: bytes(r.kept) for r in D.dedup(docs).collect()} == {0: b"p" * 60 + b"1", 1: b"ab", 2: b"q"}
     assert D.dedup(make_docs([])).count() == 0
+    assert D.dedup(docs.withColumn("doc_id", D.F.expr("nullif(doc_id, 0)"))).count() == 2
     twice = docs.union(docs)
     assert sorted((r.doc_id, r.n_removed) for r in D.dedup(twice).collect()) == [(0, 0), (0, 0), (1, 55), (1, 55), (2, 0), (2, 0)]
 
