@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 #: Bytes of text a shard, and hashes' bytes a bucket, are meant to have.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 5 << 20
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -42,7 +42,7 @@ from .words import NONBLANK, WordHasher, grouped, mixed, ngrams
 
 HASHER = WordHasher(NONBLANK)
 #: A task looks at groups of about so many documents.
-MEET = 2048
+MEET = 1024
 #: Bits of the sketches that rule pairs out, and the keys at which alike documents first meet.
 BITS, PROBES = 1024, 3
 #: Blocks of the sketches of small sets; larger sets have as many blocks as the smallest set of their band has shingles.

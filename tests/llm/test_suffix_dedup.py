@@ -49,7 +49,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(100_000, 12 << 20), (100_000, 1500), (1, 1500)])
+@pytest.mark.parametrize(("hot", "shard"), [(100_000, 5 << 20), (100_000, 1500), (1, 1500)])
 def test_matches_brute_force(make_docs, texts, monkeypatch, hot, shard):
     monkeypatch.setattr(D, "HOT", hot)
     monkeypatch.setattr(X, "SHARD_BYTES", shard)
