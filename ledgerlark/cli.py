@@ -16,11 +16,16 @@ from .functions.codec import topic_bytes
 from .functions.formats import elapsed, rate, share, size
 from .model import LEDGERS_A_SEGMENT
 from .operators import stats
+from .operators.extract import framed
 from .operators.ingest import ingest, summary
 from .operators.predicates import Filter
 from .operators.store import EventStore
 from .plans.query import Options, compare, decoded, to_json
 from .sources import settings
+from .sources.ledger_xdr import close_meta
+
+
+DECODERS = {"close_meta": close_meta, "framed": framed}
 
 
 class Usage(Exception):
@@ -72,7 +77,7 @@ def open_store(spark: SparkSession, s: settings.Settings, path: str = "") -> Eve
 
 def run_ingest(spark: SparkSession, s: settings.Settings, a: argparse.Namespace) -> int:
     store = open_store(spark, s)
-    report = ingest(spark, s.ledger_dir, store, a.start, a.end, excluded(s.exclude_topic0), progress_path=s.progress_file, compact=s.final_compaction, keep_raw=s.event_format == "xdr")
+    report = ingest(spark, s.ledger_dir, store, a.start, a.end, excluded(s.exclude_topic0), DECODERS[s.ledger_format], progress_path=s.progress_file, compact=s.final_compaction, keep_raw=s.event_format == "xdr")
     text = summary(report, store)
     print(text, file=sys.stderr)
     with open(f"summary_{time.strftime('%Y%m%d_%H%M%S')}.txt", "w") as f:

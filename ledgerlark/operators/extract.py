@@ -1,7 +1,7 @@
 """From ledgers to event rows, with a decoder that can be chosen.
 
 A decoder turns a ledger's payload into (tx, op, event index, stage, event XDR, tx hash) tuples.
-``framed`` is the one that comes with the package: a count and, for each event, two 16-bit indexes
+``ledger_xdr.close_meta`` reads the chain's own ledgers. ``framed`` reads a plain container: a count and, for each event, two 16-bit indexes
 and the event's, a stage byte, a 32-byte transaction hash, and the length and bytes of the event.
 A decoder for another container of ledgers has the same form.
 """
@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.codec import decode_event_xdr
 from ..model import EVENTS, LEDGERS_A_SEGMENT, TOPIC_POSITIONS
+from ..sources.ledger_xdr import close_meta
 
 Found = tuple[int, int, int, str, bytes, bytes | None]
 STAGES = ("transaction", "operation")
@@ -38,7 +39,7 @@ def frame(events: Iterable[Found]) -> bytes:
     return struct.pack(">I", len(out)) + b"".join(out)
 
 
-def extract(ledgers: DataFrame, decoder: Callable[[bytes], Iterable[Found]] = framed, strict: bool = False, keep_raw: bool = True) -> DataFrame:
+def extract(ledgers: DataFrame, decoder: Callable[[bytes], Iterable[Found]] = close_meta, strict: bool = False, keep_raw: bool = True) -> DataFrame:
     """Event rows of ``ledgers`` (ledger_sequence, raw).
 
     Events that cannot be read are left out, or end the job if ``strict``. Two events with one key,

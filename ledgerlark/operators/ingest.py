@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.formats import duration, rate, share, size
 from ..model import FIRST_LEDGER
 from ..sources.ledger_chunks import ledger_range, read_ledgers
-from .extract import extract, framed
+from ..sources.ledger_xdr import close_meta
+from .extract import extract
 from .store import EventStore
 
 
@@ -83,7 +84,7 @@ def resolve_range(folder: str, start: int = 0, end: int = 0) -> tuple[int, int]:
     return lo, hi
 
 
-def ingest(spark: SparkSession, folder: str, store: EventStore, start: int = 0, end: int = 0, exclude_topic0: Sequence[bytes] = (), decoder: Callable[[bytes], Iterable] = framed, progress_path: str = "", step: int = 1_000_000, compact: bool = False, keep_raw: bool = True) -> IngestReport:
+def ingest(spark: SparkSession, folder: str, store: EventStore, start: int = 0, end: int = 0, exclude_topic0: Sequence[bytes] = (), decoder: Callable[[bytes], Iterable] = close_meta, progress_path: str = "", step: int = 1_000_000, compact: bool = False, keep_raw: bool = True) -> IngestReport:
     """Ledgers start..end into ``store``, ``step`` of them a job; the watermark follows each finished job."""
     lo, hi = resolve_range(folder, start, end)
     progress, report, began = Progress(progress_path, lo, hi), IngestReport(), time.time()

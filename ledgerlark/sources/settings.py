@@ -10,6 +10,7 @@ from ..model import DEFAULT_LIMIT, DEFAULT_RANGE
 
 # What settings may be.
 FORMATS = ("xdr", "binary")
+LEDGER_FORMATS = ("close_meta", "framed")
 COMPRESSIONS = ("none", "snappy", "lz4", "zstd")
 
 
@@ -20,6 +21,7 @@ class Settings:
     network: str = ""
     network_passphrase: str = ""
     event_format: str = "xdr"
+    ledger_format: str = "close_meta"
     compression: str = "zstd"
     max_ledger_range: int = DEFAULT_RANGE
     default_limit: int = DEFAULT_LIMIT
@@ -35,6 +37,8 @@ class Settings:
             raise ValueError(f"settings lack {', '.join(missing)}")
         if self.event_format not in FORMATS:
             raise ValueError(f"event_format must be one of {FORMATS}")
+        if self.ledger_format not in LEDGER_FORMATS:
+            raise ValueError(f"ledger_format must be one of {LEDGER_FORMATS}")
         return self
 
     @property
@@ -45,7 +49,7 @@ class Settings:
 
 #: Where each setting stands in the file: section and key.
 PLACES = {
-    "ledger_dir": ("source", "ledger_dir"), "network": ("source", "network"), "network_passphrase": ("source", "network_passphrase"),
+    "ledger_dir": ("source", "ledger_dir"), "ledger_format": ("source", "ledger_format"), "network": ("source", "network"), "network_passphrase": ("source", "network_passphrase"),
     "store_path": ("storage", "db_path"), "event_format": ("storage", "event_format"), "compression": ("storage", "compression"),
     "max_ledger_range": ("query", "max_ledger_range"), "default_limit": ("query", "default_limit"),
     "batch_size": ("ingestion", "batch_size"), "final_compaction": ("ingestion", "final_compaction"), "progress_file": ("ingestion", "progress_file"),

@@ -6,7 +6,7 @@ repeats is stored once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +27,11 @@ def events_arriving(spark: SparkSession, folder: str, files_a_batch: int = 100)
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
-def store_stream(stream: DataFrame, store: EventStore, checkpoint: str, exclude_topic0: Sequence[bytes] = (), raw: bool = False, once: bool = True) -> StreamingQuery:
-    """Starts storing ``stream``, of event rows or (``raw``) of ledgers; with ``once``, it ends when all there is has been stored."""
+def store_stream(stream: DataFrame, store: EventStore, checkpoint: str, exclude_topic0: Sequence[bytes] = (), decoder: Callable | None = None, once: bool = True) -> StreamingQuery:
+    """Starts storing ``stream``, of event rows or, with a ``decoder``, of ledgers; with ``once``, it ends when all there is has been stored."""
 
     def batch(df: DataFrame, _: int) -> None:
-        events = extract(df) if raw else df
+        events = extract(df, decoder) if decoder else df
         store.upsert(events, exclude_topic0)
         last = store.events().agg(F.max("ledger_sequence")).first()[0]
         if last is not None:

@@ -3,7 +3,7 @@ import os
 import pytest
 
 from ledgerlark.functions import codec as c
-from ledgerlark.operators.extract import extract, frame
+from ledgerlark.operators.extract import extract, frame, framed
 from ledgerlark.sources import ledger_chunks as L
 from ledgerlark.sources import settings
 
@@ -66,12 +66,12 @@ def test_spark_source(spark, folder):
 
 
 def test_extract(spark, folder):
-    rows = extract(L.read_ledgers(spark, folder, 2, 6)).collect()
+    rows = extract(L.read_ledgers(spark, folder, 2, 6), framed).collect()
     assert len(rows) == 10 and {r.event_stage for r in rows} == {"transaction", "operation"}
     r = next(r for r in rows if r.ledger_sequence == 3 and r.event_stage == "operation")
     assert bytes(r.contract_id) == CONTRACT and bytes(r.topic0) == c.symbol("mint") and r.topic1 is None and bytes(r.data) == c.symbol("3") and r.segment_id == 0
     with pytest.raises(Exception, match="cannot be read"):
-        extract(L.read_ledgers(spark, folder, 2, 6), strict=True).collect()
+        extract(L.read_ledgers(spark, folder, 2, 6), framed, strict=True).collect()
 
 
 def test_settings(tmp_path, monkeypatch):

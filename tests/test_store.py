@@ -10,7 +10,7 @@ from ledgerlark.functions import codec as c
 from ledgerlark.functions.codec import contract_name
 from ledgerlark.model import EVENTS, KEY
 from ledgerlark.operators import index as ix
-from ledgerlark.operators.extract import frame
+from ledgerlark.operators.extract import frame, framed
 from ledgerlark.operators.ingest import Progress, ingest, resolve_range, summary
 from ledgerlark.operators.predicates import Filter, topic_is
 from ledgerlark.operators.store import EventStore
@@ -84,7 +84,7 @@ def folder(tmp_path):
 
 def test_ingest(spark, tmp_path, folder):
     store, progress = EventStore(spark, str(tmp_path / "s")), str(tmp_path / "p.json")
-    report = ingest(spark, folder, store, progress_path=progress, step=10_000, compact=True)
+    report = ingest(spark, folder, store, decoder=framed, progress_path=progress, step=10_000, compact=True)
     assert (report.ledgers, report.extracted, report.stored) == (24, 72, 72)
     assert (report.transactions, report.transaction_events, report.operation_events) == (24, 24, 48)
     # the transaction's event and the operation's first have one key: the later stays
@@ -93,7 +93,7 @@ def test_ingest(spark, tmp_path, folder):
     told = json.load(open(progress))
     assert told["status"] == "completed" and told["percent"] == 100 and told["stored"] == 72
     assert "ledgers: 24" in summary(report, store)
-    ingest(spark, folder, store, 5, 7)
+    ingest(spark, folder, store, 5, 7, decoder=framed)
     assert store.events().count() == 48
     for start, end in ((1, 5), (9, 8)):
         with pytest.raises(ValueError):
@@ -120,13 +120,13 @@ def test_streaming(spark, tmp_path):
     raw = str(tmp_path / "raw")
     spark.createDataFrame([(7, payload(7))], "ledger_sequence long, raw binary").write.parquet(raw)
     other = EventStore(spark, str(tmp_path / "o"))
-    assert store_stream(ledgers_arriving(spark, raw), other, str(tmp_path / "d"), raw=True).awaitTermination(100)
+    assert store_stream(ledgers_arriving(spark, raw), other, str(tmp_path / "d"), decoder=framed).awaitTermination(100)
     assert other.events().count() == 2
 
 
 def test_commands(spark, tmp_path, folder, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
-    (tmp_path / "config.toml").write_text(f'[source]\nledger_dir = "{folder}"\nnetwork = "test"\n[storage]\ndb_path = "{tmp_path}/s"\n[ingestion]\nexclude_topic0 = ["@@", "{__import__("base64").b64encode(c.symbol("mint")).decode()}"]\nfinal_compaction = false\n')
+    (tmp_path / "config.toml").write_text(f'[source]\nledger_dir = "{folder}"\nnetwork = "test"\nledger_format = "framed"\n[storage]\ndb_path = "{tmp_path}/s"\n[ingestion]\nexclude_topic0 = ["@@", "{__import__("base64").b64encode(c.symbol("mint")).decode()}"]\nfinal_compaction = false\n')
     run = lambda *a: (cli.main(a, spark), capsys.readouterr())
     code, out = run("ingest", "--end", "30")
     assert code == 0 and "not base64" in out.err and glob.glob("summary_*.txt")
