@@ -139,4 +139,7 @@ def score_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules())
 
 def filter_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that are kept, with its own columns."""
-    return score_documents(docs, trusted, rules).where("kept").select(*quoted(docs.columns))
+    # a filter on ``kept`` alone would be pushed below the steps, each step written out wherever it is
+    # used again; it stays above a column that is not deterministic
+    scored = score_documents(docs, trusted, rules).withColumn("__qr_row", F.monotonically_increasing_id())
+    return scored.where(F.col("kept") & (F.col("__qr_row") >= 0)).select(*quoted(docs.columns))
