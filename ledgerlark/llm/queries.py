@@ -100,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE,
     "op3_warc_revisits": warc_revisit.ORACLE,
     "op8_chat_rotation": chat_rotation.ORACLE,
 }
