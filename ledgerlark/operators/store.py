@@ -80,7 +80,8 @@ class EventStore:
     # writing
 
     def _write(self, df: DataFrame, name: str, order: Sequence[str], bloom: Sequence[str] = ()) -> None:
-        writer = df.repartition("segment_id", *order[:1]).sortWithinPartitions("segment_id", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", self.compression)
+        # ranges, so that a file holds neighbours and its statistics exclude it from most lookups
+        writer = df.repartitionByRange("segment_id", *order[:2]).sortWithinPartitions("segment_id", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", self.compression)
         for c in bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.partitionBy("segment_id").parquet(f"{self.path}/{name}")
