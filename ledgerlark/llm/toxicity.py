@@ -4,8 +4,9 @@ The kernel counts common subsequences of three characters, each weighted down by
 it spans in either string, so a word still resembles an insult when characters are put between its
 letters. Landmarks are words that mark labelled toxic texts; the kernel values with them, whitened
 by the landmarks' own kernel matrix, are a word's features. A text's features are the largest and
-the (damped) sum over its words. A linear machine with squared hinge loss separates the labelled
-texts, and a logistic curve turns its margin into a score.
+the (damped) sum over its words. A linear machine with squared hinge loss separates labelled texts and
+their sentences, which have their text's label, and a logistic curve turns a text's margin into a
+score.
 
 A word that shares too few letters with a landmark to come near it has kernel value 0 with it, by
 definition (``shared`` of Settings); letters spelled one by one are read as one word.
@@ -45,6 +46,8 @@ class Settings:
     #: Least texts that a landmark occurs in.
     least: int = 3
     penalty: float = 1.0
+    #: Sentences of a labelled text that the machine is fitted on besides the whole, of those with a word near a landmark.
+    sentences: int = 4
     #: Words whose features a task keeps.
     known: int = 600_000
 
@@ -87,6 +90,7 @@ def letters(words: list[str]) -> np.ndarray:
 
 #: Three or more words of one character each, read as one word.
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+SENTENCE_END = re.compile(r"[.!?]\s|\n")
 #: Marks that count for nothing around a word or between its letters.
 MARKS = "\"'.,;:!?()[]{}<>#*$%&|-_~`+=/@^"
 DROPPED = str.maketrans("", "", MARKS)
@@ -176,8 +180,11 @@ def landmarks(rows: DataFrame, s: Settings) -> list[str]:
     return [r[0] for r in counts.withColumn("gain", F.round(gain, 6)).where("gain > 0").orderBy(F.desc("gain"), "w").limit(s.landmarks).collect()]
 
 
-def machine(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 60) -> tuple[np.ndarray, float, float, float]:
-    """Weights and bias of a linear machine with squared hinge loss, by Newton steps, and the slope and shift of its logistic curve."""
+def machine(x: np.ndarray, y: np.ndarray, whole: np.ndarray, penalty: float, steps: int = 60) -> tuple[np.ndarray, float, float, float]:
+    """Weights and bias of a linear machine with squared hinge loss, by Newton steps, and the slope and shift of its logistic curve.
+
+    The curve is fitted on the rows that are ``whole`` texts.
+    """
     a, t = np.hstack([x, np.ones((len(x), 1))]), np.where(y == 1, 1.0, -1.0)
     w, reg = np.zeros(a.shape[1]), np.full(a.shape[1], 1.0)
     reg[-1] = 1e-6
@@ -188,7 +195,7 @@ def machine(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 60) -> tu
         if np.abs(new - w).max() < 1e-9:
             break
         w = new
-    m, slope, shift = a @ w, 2.0, 0.0
+    m, y, slope, shift = (a @ w)[whole], y[whole], 2.0, 0.0
     for _ in range(100):  # logistic curve over the margins
         p = sigmoid(slope * m + shift)
         g = np.array([((p - y) * m).sum() + 1e-3 * slope, (p - y).sum()])
@@ -213,12 +220,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = Features(*maker.value)
             for batch in batches:
-                x = f.of([t or "" for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
-
-        got = sorted((tuple(r) for r in picked.mapInArrow(features, "doc_id long, label int, x array<double>").collect()), key=lambda r: r[0])
+                ids, labels, part, rows = [], [], [], []
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc, text, label, x in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), f.of(texts), strict=True):
+                    own = f.of(SENTENCE_END.split(text)) if x.any() and s.sentences else x[:0].reshape(0, 0)
+                    own = own[own.any(axis=1)][: s.sentences] if len(own) else own
+                    for k, row in enumerate([x, *own]):
+                        ids.append(doc)
+                        labels.append(label)
+                        part.append(k)
+                        rows.append(row)
+                columns = [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(part, pa.int32()), pa.array(rows, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "part", "x"])
+
+        # at most max_rows texts, and ``sentences`` of each
+        found = picked.mapInArrow(features, "doc_id long, label int, part int, x array<double>").collect()
+        got = sorted((tuple(r) for r in found), key=lambda r: (r[0], r[2]))
         if {r[1] for r in got} == {0, 1}:
-            model = spark.sparkContext.broadcast((names, s, machine(np.array([r[2] for r in got]), np.array([r[1] for r in got], float), s.penalty)))
+            x, y, whole = np.array([r[3] for r in got]), np.array([r[1] for r in got], float), np.array([r[2] == 0 for r in got])
+            model = spark.sparkContext.broadcast((names, s, machine(x, y, whole, s.penalty)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, (w, bias, slope, shift) = (Features(*model.value[:2]), model.value[2]) if model else (None, (0, 0, 0, 0))
