@@ -170,17 +170,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pooled(_bytes(batch.column(1)), vectors.value, s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["doc_id", "label", "x"])
 
     some = chosen(labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")), s.max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(some.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("long"), "text", "label")
-    got = sorted((tuple(r) for r in rows.mapInArrow(features, "doc_id long, label int, x array<double>").collect()), key=lambda r: (r[0], r[1]))
+    got = sorted((tuple(r) for r in rows.mapInArrow(features, "doc_id long, label int, x binary").collect()), key=lambda r: (r[0], r[1]))
     network = None
     if {r[1] for r in got} == {0, 1}:
         # rows in an order that doesn't follow the corpus
         order = np.argsort(mixed(np.array([r[0] for r in got]).astype(np.uint64)), kind="stable")
         network = Network(2 * s.size, s.hidden, s.seed)
-        network.fit(np.array([r[2] for r in got])[order], np.array([r[1] for r in got], float)[order], s.epochs, s.seed)
+        x = np.frombuffer(b"".join(r[2] for r in got), np.float32).reshape(len(got), -1).astype(np.float64)
+        network.fit(x[order], np.array([r[1] for r in got], float)[order], s.epochs, s.seed)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

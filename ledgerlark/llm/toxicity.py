@@ -229,15 +229,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
                         ids.append(doc)
                         labels.append(label)
                         part.append(k)
-                        rows.append(row)
-                columns = [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(part, pa.int32()), pa.array(rows, pa.list_(pa.float64()))]
+                        rows.append(row.astype(np.float32).tobytes())
+                columns = [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(part, pa.int32()), pa.array(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "part", "x"])
 
         # at most max_rows texts, and ``sentences`` of each
-        found = picked.mapInArrow(features, "doc_id long, label int, part int, x array<double>").collect()
+        found = picked.mapInArrow(features, "doc_id long, label int, part int, x binary").collect()
         got = sorted((tuple(r) for r in found), key=lambda r: (r[0], r[2]))
+        del found
         if {r[1] for r in got} == {0, 1}:
-            x, y, whole = np.array([r[3] for r in got]), np.array([r[1] for r in got], float), np.array([r[2] == 0 for r in got])
+            x = np.frombuffer(b"".join(r[3] for r in got), np.float32).reshape(len(got), -1).astype(np.float64)
+            y, whole = np.array([r[1] for r in got], float), np.array([r[2] == 0 for r in got])
             model = spark.sparkContext.broadcast((names, s, machine(x, y, whole, s.penalty)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
