@@ -2,14 +2,14 @@
 
 The kernel counts common subsequences of three characters, each weighted down by the length that
 it spans in either string, so a word still resembles an insult when characters are put between its
-letters. Landmarks are words that mark labelled toxic texts; the kernel values with them, whitened
-by the landmarks' own kernel matrix, are a word's features. A text's features are the largest and
-the (damped) sum over its words. A linear machine with squared hinge loss separates labelled texts and
-their sentences, which have their text's label, and a logistic curve turns a text's margin into a
-score.
+letters. Landmarks are words that mark labelled toxic texts; the squares of the kernel values with
+them (a kernel too), whitened by the landmarks' own matrix of squares, are a word's features. A
+text's features are the largest and the (damped) sum over its words. A linear machine with squared
+hinge loss separates labelled texts and their sentences, which have their text's label, and a
+logistic curve turns a text's margin into a score.
 
-A word that shares too few letters with a landmark to come near it has kernel value 0 with it, by
-definition (``shared`` of Settings); letters spelled one by one are read as one word.
+Every kernel value counts, however small; only a word that has no subsequence of three characters in
+common with a landmark has value 0. Letters spelled one by one are read as one word.
 
 Defined edge cases: null, empty and blank texts have no words and get the score of a text without
 any insult; repeated rows are scored alike; without labels of both kinds every score is 0; an empty
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,15 @@ LONGEST = 24
 class Settings:
     landmarks: int = 96
     decay: float = 0.8
-    #: Least share of a landmark's letters that a word must have, and of the word's letters in it.
-    shared: float = 0.7
-    shared_back: float = 0.4
-    #: Kernel values below this count as 0.
-    near: float = 0.45
     #: The machine is fitted on at most so many labelled rows, those with the smallest hashes of their doc_id.
     max_rows: int = 20_000
     #: Least texts that a landmark occurs in.
     least: int = 3
     penalty: float = 1.0
-    #: Sentences of a labelled text that the machine is fitted on besides the whole, of those with a word near a landmark.
+    #: Sentences of a labelled text that the machine is fitted on besides the whole, those with the words nearest to a landmark.
     sentences: int = 4
     #: Words whose features a task keeps.
-    known: int = 600_000
+    known: int = 100_000
 
 
 def coded(words: list[str], width: int = LONGEST, pad: int = -1) -> np.ndarray:
@@ -76,18 +72,6 @@ def kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
     return np.einsum("abp,abp->p", same, last[:n, :m])
 
 
-def letters(words: list[str]) -> np.ndarray:
-    """The set of a word's characters as 64 bits."""
-    out = np.zeros(len(words), np.uint64)
-    if words:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        bits = np.uint64(1) << (codes * np.uint64(2654435761) >> np.uint64(8) & np.uint64(63))
-        some = lengths > 0
-        out[some] = np.bitwise_or.reduceat(bits, (np.cumsum(lengths) - lengths)[some])
-    return out
-
-
 #: Three or more words of one character each, read as one word.
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 SENTENCE_END = re.compile(r"[.!?]\s|\n")
@@ -107,66 +91,110 @@ def words_of(text: str) -> list[str]:
 
 
 class Features:
+    """Every kernel value of a word with the landmarks, none left out.
+
+    The kernel is a product of two vectors of subsequences, and only those of the landmarks count: a
+    table has them with their weights in each landmark, and a word's own are looked up in it.
+    """
+
     def __init__(self, landmarks: list[str], s: Settings) -> None:
         self.s, self.names = s, landmarks
-        self.width = max(map(len, landmarks))
-        self.codes = coded(landmarks, self.width, -2)
-        self.masks = letters(landmarks)
         k = len(landmarks)
-        a, b = np.divmod(np.arange(k * k), k)
-        raw = kernel(np.where(self.codes == -2, -1, self.codes)[a], self.codes[b], s.decay).reshape(k, k)
+        self.alphabet = np.unique(coded(landmarks, max(map(len, landmarks))))
+        self.alphabet = self.alphabet[self.alphabet >= 0]
+        self.base = len(self.alphabet) + 1
+        rows: dict[int, np.ndarray] = {}
+        for i, w in enumerate(landmarks):
+            at = self.places(coded([w], len(w)))[0].tolist()
+            for x, y, z in combinations(range(len(w)), 3):
+                rows.setdefault((at[x] * self.base + at[y]) * self.base + at[z], np.zeros(k))[i] += s.decay ** (z - x + 1)
+        self.triples = np.array(sorted(rows) or [0])
+        self.table = np.array([rows[x] for x in sorted(rows)] or [np.zeros(k)])
+        raw = self.table.T @ self.table
         self.own = np.sqrt(np.diag(raw))
-        gram = raw / np.outer(self.own, self.own)
+        gram = (raw / np.maximum(np.outer(self.own, self.own), 1e-9)) ** 2
+        self.table = self.table.astype(np.float32)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        self.whiten = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
-        self.known: dict[str, np.ndarray | None] = {}
+        self.whiten = (vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T).astype(np.float32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.rows, self.peaks = np.zeros((0, len(self.names)), np.float32), np.zeros(0, np.float32)
 
     @property
     def size(self) -> int:
         return 2 * len(self.names)
 
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """1 and up for the landmarks' characters, 0 for others."""
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0)
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """The kernel values of the words with each landmark."""
+        out = np.zeros((len(words), len(self.names)), np.float32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(lengths[lengths >= 3]).tolist():
+            x, y, z = np.array(list(combinations(range(n), 3))).T
+            weight, of = (self.s.decay ** (z - x + 1)).astype(np.float32), np.nonzero(lengths == n)[0]
+            step = max(1, 200_000 // len(x))
+            for i in range(0, len(of), step):
+                w = of[i : i + step]
+                codes = coded([words[j] for j in w.tolist()], n)
+                at = self.places(codes)
+                triple = (at[:, x] * self.base + at[:, y]) * self.base + at[:, z]
+                row = np.minimum(np.searchsorted(self.triples, triple), len(self.triples) - 1)
+                r, c = np.nonzero(self.triples[row] == triple)
+                if len(r):
+                    first = np.nonzero(np.r_[True, r[1:] != r[:-1]])[0]
+                    out[w[r[first]]] = np.add.reduceat(self.table[row[r, c]] * weight[c][:, None], first, axis=0)
+        some = np.nonzero(out.any(1))[0]
+        some = some[np.argsort(lengths[some], kind="stable")]  # like lengths together: the kernel's work follows the longest
+        for i in range(0, len(some), 4096):
+            w = some[i : i + 4096]
+            codes = coded([words[j] for j in w.tolist()], int(lengths[w].max()))
+            own = np.sqrt(kernel(codes, np.where(codes == -1, -2, codes), self.s.decay))
+            out[w] /= own[:, None] * self.own.astype(np.float32)
+        return out
+
     def near(self, words: list[str]) -> dict[str, np.ndarray]:
-        """The whitened kernel values of the words that come near a landmark."""
-        masks = letters(words)
-        both = np.bitwise_count(masks[:, None] & self.masks)
-        w, k = np.nonzero((both >= self.s.shared * np.bitwise_count(self.masks)) & (both >= self.s.shared_back * np.bitwise_count(masks)[:, None]))
-        codes, found = coded(words), {}
-        lengths, marked = np.fromiter(map(len, words), np.int64, len(words)), np.fromiter(map(len, self.names), np.int64, len(self.names))
-        order = np.lexsort((k, w, marked[k], lengths[w]))  # pairs of like lengths together: the kernel's work follows the longest
-        w, k = w[order], k[order]
-        own = np.zeros(len(words))
-        once = np.unique(w)
-        once = once[np.argsort(lengths[once], kind="stable")]
-        for i in range(0, len(once), 2048):
-            c = codes[once[i : i + 2048], : lengths[once[i : i + 2048]].max()]
-            own[once[i : i + 2048]] = np.sqrt(kernel(c, np.where(c == -1, -2, c), self.s.decay))
-        for i in range(0, len(w), 2048):
-            a, b = w[i : i + 2048], k[i : i + 2048]
-            value = kernel(codes[a, : lengths[a].max()], self.codes[b, : marked[b].max()], self.s.decay) / np.maximum(own[a] * self.own[b], 1e-9)
-            for x, y, v in zip(a.tolist(), b.tolist(), value.tolist(), strict=True):
-                if v >= self.s.near:
-                    found.setdefault(x, np.zeros(len(self.names)))[y] = v
-        return {words[x]: row @ self.whiten for x, row in found.items()}
+        """The features of the words that have a kernel value other than 0."""
+        raw = self.values(words)
+        return {w: (v * v) @ self.whiten for w, v in zip(words, raw, strict=True) if v.any()}
+
+    def learn(self, words: list[str]) -> None:
+        """Keeps the whitened squares of the kernel values of new words, and the largest kernel value of each."""
+        for j in range(0, len(words), 20_000):
+            part = words[j : j + 20_000]
+            raw = self.values(part)
+            lo, hi = len(self.known), len(self.known) + len(part)
+            if hi > len(self.rows):
+                more = max(hi, 2 * len(self.rows)) - len(self.rows)
+                self.rows, self.peaks = np.pad(self.rows, ((0, more), (0, 0))), np.pad(self.peaks, (0, more))
+            self.known.update(zip(part, range(lo, hi), strict=True))
+            self.rows[lo:hi], self.peaks[lo:hi] = (raw * raw) @ self.whiten, raw.max(1)
 
     def of(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size))
+        return self.both(texts)[0]
+
+    def both(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The features of each text, and the largest kernel value of its words."""
+        out, peaks, k = np.zeros((len(texts), self.size)), np.zeros(len(texts)), len(self.names)
         for i in range(0, len(texts), 500):
-            cut = [words_of(t) for t in texts[i : i + 500]]
+            cut = [[w for w in words_of(t) if len(w) >= 3] for t in texts[i : i + 500]]
             if len(self.known) > self.s.known:
-                self.known = {}
-            new = [w for w in set().union(*cut).difference(self.known) if len(w) >= 3]
-            self.known.update(dict.fromkeys(new))
-            for j in range(0, len(new), 20_000):
-                self.known.update(self.near(new[j : j + 20_000]))
-            get = self.known.get
+                self.clear()
+            self.learn(sorted(set().union(*cut).difference(self.known)))
             for d, words in enumerate(cut, i):
-                hits = [v for v in map(get, words) if v is not None]
-                if hits:
-                    rows = np.array(hits)
-                    k = len(self.names)
-                    out[d, :k] = rows[np.abs(rows).argmax(0), np.arange(k)]
-                    out[d, k:] = np.sign(rows.sum(0)) * np.log1p(np.abs(rows.sum(0)))
-        return out
+                if words:
+                    at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                    rows = self.rows[at]
+                    peaks[d] = self.peaks[at].max()
+                    low, high, total = rows.min(0), rows.max(0), rows.sum(0)
+                    out[d, :k] = np.where(-low > high, low, high)
+                    out[d, k:] = np.sign(total) * np.log1p(np.abs(total))
+        return out, peaks
 
 
 def landmarks(rows: DataFrame, s: Settings) -> list[str]:
@@ -223,8 +251,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
                 ids, labels, part, rows = [], [], [], []
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for doc, text, label, x in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), f.of(texts), strict=True):
-                    own = f.of(SENTENCE_END.split(text)) if x.any() and s.sentences else x[:0].reshape(0, 0)
-                    own = own[own.any(axis=1)][: s.sentences] if len(own) else own
+                    own, near = f.both(SENTENCE_END.split(text))
+                    best = np.argsort(-near, kind="stable")[: s.sentences]
+                    own = own[best[near[best] > 0]]
                     for k, row in enumerate([x, *own]):
                         ids.append(doc)
                         labels.append(label)

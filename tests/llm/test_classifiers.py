@@ -38,6 +38,33 @@ def test_gapped_insults_come_near():
     assert T.words_of("") == []
 
 
+DISTORTED = {"idiot": ["ixdxixoxt", "idxxiot", "i0diot"], "moron": ["mxxoron", "mxoxrxoxn", "m0r0n"], "stupid": ["sxtxuxpxixd", "stvpid", "stuuupid"], "loser": ["lxxoser", "l0ser"], "scum": ["sxxcum", "scvuuum"]}
+
+
+def test_every_kernel_value_is_a_feature():
+    names = [*DISTORTED, "worthless"]
+    f = T.Features(names, T.Settings())
+    words = [*itertools.chain(*DISTORTED.values()), *names, "garden", "1d10t", "ab", "worththeless" * 2]
+    norm = lambda w: brute_kernel(w, w, 0.8) ** 0.5
+    want = np.array([[brute_kernel(w, n, 0.8) / max(norm(w) * norm(n), 1e-9) for n in names] for w in words])
+    got = f.values(words)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-6) and ((got > 0) == (want > 0)).all()
+    assert set(f.near(words)) == {w for w, v in zip(words, want, strict=True) if v.any()}
+    for insult, distorted in DISTORTED.items():
+        for w in distorted:
+            assert got[words.index(w), names.index(insult)] > 0 and f.of([f"a {w} b"]).any(), w
+
+
+def test_distorted_insults_on_held_out_texts(spark, make_docs):
+    """Insults with several characters put in or changed, none of which the machine was fitted on."""
+    calm = ["garden path by the window", "plain table under a lamp", "we walk home at night", "bread and butter today"]
+    texts = [f"{c} you {i}" for c in calm for i in DISTORTED] + calm * 5
+    held = ["bring the green lamp", *[f"bring the green lamp {w}" for v in DISTORTED.values() for w in v]]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, label int")
+    rows = {r.doc_id: r.score for r in T.score_documents(make_docs(texts + held), labels).collect()}
+    assert all(rows[i] > rows[40] for i in range(41, 40 + len(held))), {held[i - 40]: rows[i] for i in range(40, 40 + len(held))}
+
+
 def held_out(spark, folder, query, label, parts, of):
     df = query(spark, folder)
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
