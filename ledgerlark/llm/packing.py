@@ -14,6 +14,7 @@ by one; an empty table gives no piece; other columns of the input are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,6 +28,9 @@ from .shared import written
 
 #: Fixed value: how byte-level BPE cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts with more whitespace than this in one run are not given to tiktoken.
+LONG_BLANK = 100_000
+BLANK = re.compile(rf"(?<!\s)\s{{{LONG_BLANK + 1}}}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -134,7 +138,8 @@ class Encoder:
     The file is a byte-level BPE whose merges are in the order of their ids. tiktoken, given that
     vocabulary, yields the ids of the tokenizers library several times faster; it is used for texts of
     Latin-1 characters without the file's special tokens, and tokenizers for the others, where the two
-    libraries' character classes may differ.
+    libraries' character classes may differ. Texts with a long run of whitespace also go to tokenizers:
+    tiktoken's regex backtracks over such a run, and its stack ends at a million characters.
     """
 
     def __init__(self, path: str, end_id: int | None) -> None:
@@ -156,6 +161,7 @@ class Encoder:
             plain = not any(t in text for t in self.special)
         except UnicodeEncodeError:
             plain = False
+        plain = plain and not (len(text) > LONG_BLANK and BLANK.search(text))
         found = self.fast.encode_ordinary(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", found).tobytes() + self.end
 

@@ -59,6 +59,12 @@ def test_ids_are_those_of_tokenizers(sample):
         assert np.frombuffer(raw, "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], x
 
 
+def test_long_whitespace_runs():
+    t, encoder = Tokenizer.from_file(queries.tokenizer_path()), P.Encoder(queries.tokenizer_path(), 2)
+    for x in (" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", "x" + " \t\r\n" * 300_000, " " * P.LONG_BLANK + "a", "a" + " " * (P.LONG_BLANK + 1)):
+        assert np.frombuffer(encoder.ids(x), "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
+
+
 def check(rows, texts, capacity):
     t = Tokenizer.from_file(queries.tokenizer_path())
     by_doc, by_seq = defaultdict(list), defaultdict(list)
