@@ -3,7 +3,8 @@
 Everything here is a Spark expression; no Python runs on the executors.
 
 Defined edge cases: a null text counts as an empty one; an empty or all-blank text has zero
-words, fails the base rules and scores 0; repeated ``doc_id`` rows are scored one by one; an
+words, fails the base rules and scores 0; without a trusted text that has words every text scores 0,
+so that the base rules alone decide; repeated ``doc_id`` rows are scored one by one; an
 empty table gives an empty result; columns of the input other than those named are ignored or,
 in :func:`filter_documents`, passed through untouched (helper columns carry a ``__qr_`` prefix).
 """
@@ -105,7 +106,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> D
     """One row with ``ratios``: for each bucket, log P(bucket | trusted) - log P(bucket | raw), in parts.
 
     Both multinomials are counted over every row of ``docs``; ``trusted`` holds the doc_ids of
-    the target. The result has ``rules.buckets`` numbers whatever the input's size.
+    the target. The result has ``rules.buckets`` numbers whatever the input's size, all 0 if the
+    target has no word.
     """
     ids = trusted.select(F.col("doc_id").alias("__qr_id")).where("__qr_id is not null").distinct()
     # the trusted ids grow with the corpus, so they are never broadcast: one plan at every size
@@ -118,10 +120,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> D
     every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
     full = counts.select("b", "raw", "target").unionByName(every).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     row = full.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"), F.try_divide(F.sum("target"), F.sum("raw")).alias("share"))
-    row = row.select("c", F.when(F.col("share") > 0, F.col("share")).otherwise(1.0).alias("share"))
+    known = F.coalesce(F.col("share") > 0, F.lit(False))
+    row = row.select("c", known.alias("known"), F.when(known, F.col("share")).otherwise(1.0).alias("share"))
     # pseudo-counts in proportion to the two sizes, so that a rare n-gram says little either way
     ratio = lambda x: F.log((x["target"] + rules.smoothing * F.col("share")) / F.col("share") / (x["raw"] + F.lit(rules.smoothing)))
-    return row.select(F.transform("c", lambda x: F.round(ratio(x) * PARTS).cast("long")).alias("ratios"))
+    return row.select(F.transform("c", lambda x: F.when(F.col("known"), F.round(ratio(x) * PARTS).cast("long")).otherwise(F.lit(0).cast("long"))).alias("ratios"))
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -41,6 +41,16 @@ def test_empty_tables(make_docs):
     assert Q.score_documents(docs, docs.limit(0)).count() == 1
 
 
+def test_without_a_trusted_text_the_base_rules_decide(make_docs):
+    clean = " ".join(f"word{i} and" for i in range(60))
+    docs = make_docs([clean, clean + " more", "short", "w " * 30, None] + [clean] * 5)
+    for trusted in (docs.limit(0), docs.where("doc_id = 4"), docs.selectExpr("doc_id + 100 as doc_id"), docs.selectExpr("cast(null as long) as doc_id")):
+        rows = {r.doc_id: r for r in Q.score_documents(docs, trusted).collect()}
+        assert all(r.llr == 0 and r.kept == (not r.base_failed) for r in rows.values())
+        assert {i for i, r in rows.items() if r.kept} == {0, 1, 5, 6, 7, 8, 9}
+    assert Q.filter_documents(docs, docs.limit(0)).count() == 7
+
+
 def test_log_ratio_is_that_of_the_two_multinomials(make_docs):
     import math
 
