@@ -283,10 +283,21 @@ def compare_stores(events):
     return compare(shown(EventQuery(events, ix.build_index(events)).run(filters, LO, HI)), shown(EventQuery(events).run(filters, LO, HI)))
 
 
+def _projection(events: DataFrame) -> DataFrame:
+    return events.select(*KEY, type_name(F.col("event_type")).alias("type"), base64_text(F.col("topic0")).alias("topic0"), base64_text(F.col("topic1")).alias("topic1"))
+
+
 @query(f"""SELECT ledger_sequence, transaction_index, operation_index, event_index, CASE event_type WHEN 0 THEN 'contract' WHEN 1 THEN 'system' ELSE '' END AS type,
   replace(to_base64(unhex(topic0_hex)), chr(10), '') AS topic0, replace(to_base64(unhex(topic1_hex)), chr(10), '') AS topic1 FROM ev WHERE ledger_sequence BETWEEN {LO} AND {HI}""")
 def decode_projection(events):
-    return events.where(p.in_ledgers(LO, HI)).select(*KEY, type_name(F.col("event_type")).alias("type"), base64_text(F.col("topic0")).alias("topic0"), base64_text(F.col("topic1")).alias("topic1"))
+    return _projection(events.where(p.in_ledgers(LO, HI)))
+
+
+@query("""SELECT ledger_sequence, transaction_index, operation_index, event_index, CASE event_type WHEN 0 THEN 'contract' WHEN 1 THEN 'system' ELSE '' END AS type,
+  replace(to_base64(unhex(topic0_hex)), chr(10), '') AS topic0, replace(to_base64(unhex(topic1_hex)), chr(10), '') AS topic1 FROM ev""")
+def decode_events(events):
+    """The projection of every event."""
+    return _projection(events)
 
 
 @query("SELECT ledger_sequence, lpad(upper(printf('%x', ledger_sequence)), 8, '0') || lpad(upper(printf('%x', transaction_index)), 4, '0') || '00000000' AS event_key FROM ev")
@@ -295,10 +306,10 @@ def event_keys(events):
 
 
 def contract_names(spark: SparkSession, folder: str) -> DataFrame:
-    """The first results of a range as a query prints them, contract names included (which SQL cannot make)."""
+    """All events as a query prints them, contract names included (which SQL cannot make)."""
     from .query import decoded
 
-    return decoded(p.ledger_range(contract_events(spark, folder), LO, HI, 100))
+    return decoded(contract_events(spark, folder))
 
 
 QUERIES["contract_names"] = contract_names

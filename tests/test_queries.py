@@ -1,6 +1,7 @@
 import glob
 import json
 import os
+from hashlib import sha256
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import settings as hyp
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.codec import padded
+from ledgerlark.functions.codec import contract_name, padded
 from ledgerlark.model import EVENTS, KEY
 from ledgerlark.operators import index as ix
 from ledgerlark.operators import predicates as p
@@ -141,6 +142,14 @@ def test_output(events):
     assert "contract_id" not in next(o for o in out if o["ledger_sequence"] == 3 and o["transaction_index"] == 0) and out[0]["type"] == "contract" and "\n" not in out[0]["data"] and out[0]["successful"] is False
 
 
+def test_contract_names_are_of_all_events(spark):
+    rows = catalog.contract_names(spark, SF).collect()
+    users = {(2 + e.event_id // 10, 1 + e.event_id % 10): e.user_id for e in spark.read.parquet(f"{SF}/events.parquet").collect()}
+    want = {k: contract_name(sha256(str(u).encode()).digest()) for k, u in users.items()}
+    assert len(rows) == len(users) and {(r.ledger_sequence, r.transaction_index): r.contract_id for r in rows} == want
+    assert catalog.QUERIES["decode_events"](spark, SF).count() == len(users)
+
+
 def test_blob_columns(spark, events):
     from ledgerlark.functions.columns import blob, event_of_blob
 
