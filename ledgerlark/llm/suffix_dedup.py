@@ -1,18 +1,17 @@
-"""Removal of repeated byte strings by merging Burrows-Wheeler transforms of shards.
+"""Removal of repeated byte strings by sorting the windows that documents of different shards may share.
 
 A byte of a document is removed if a string of ``length`` bytes that covers it also starts in a
 document with a smaller doc_id. Documents are dealt to shards. A shard keeps those windows whose
 anchor (see ``anchors``) another document has too, as strings: runs of windows that share an anchor.
 Strings go to buckets by anchor, where all windows that can be equal meet.
 
-A bucket merges the transforms of its shards by refining their interleave. The transform of a
-shard, read in symbols of eight bytes, says which symbol stands before each context; to begin with
-the contexts are empty and the shards' rows follow one another. Each step puts the rows in the
-order of the symbols before them and keeps the order that they had otherwise, so that contexts
-grow by a symbol at the front and the interleave becomes that of the merged transform. Rows whose
-symbols are equal, and whose contexts were, stay in one interval; after ``length`` bytes an interval
-is a repeated string, its common prefix at least that long, and no suffix was ever sorted anew. The
-smallest doc_id of each interval is told to the shards, which remove what it covers.
+A bucket sorts the windows of all its shards by a stable radix sort in symbols of eight bytes, the
+last ones first. The steps are those that merge Burrows-Wheeler transforms by refining their
+interleave, but no shard sorts its suffixes or builds a transform: the rows start unsorted, one
+shard's after another's, and only the windows that another document may have are there. Rows that
+are equal in all ``length`` bytes stay in one interval, which is a repeated string; of longer common
+prefixes nothing is known. The smallest doc_id of each interval is told to the shards, which remove
+what it covers.
 
 Equal texts are first reduced to the one with the smallest doc_id, and equal strings of a shard to
 one. An anchor of more than ``HOT`` documents is no place to meet for all of their windows: these
