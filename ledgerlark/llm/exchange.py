@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discarded, written
 
 #: Bytes of text a shard, and hashes' bytes a bucket, are meant to have.
 SHARD_BYTES = 5 << 20
@@ -146,16 +146,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     neighbour; the edges end up as stars around the smallest nodes. Only counts come to the driver.
     """
     links = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    was = None
-    while True:
+    was = links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+    while was[0]:
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         # small star: every node's smaller neighbours and itself go to the smallest of them
         small = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(small, "b")
-        links = written(joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct(), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+        new = written(joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct(), "links")
+        discarded(links)
+        links, now = new, new.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == was:
             break
         was = now

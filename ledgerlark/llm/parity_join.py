@@ -8,45 +8,53 @@ with more than n / 3 blocks in use therefore shares one of them with each partne
 size band have the same number of blocks; a document has a sketch in its own band and in those of
 the sizes that a smaller partner can have, and pairs meet in the smaller one's band.
 
-Before that, documents leave that cannot have a partner, because too few of their shingles occur
-in any other document. Of its blocks, a document offers only the rarest n / 3 + 1: as at most n / 3
-are not a partner's, the rarest common block is among the offers of both. So blocks that very many
-documents share are hardly ever offered. Where documents meet, bit sketches (one bit flipped for
-each shingle) whose distance is more than the symmetric difference can be rule a pair out, and the
-others are verified on their sets of 64-bit shingle hashes.
-
-No pairs are made of the members of a group: a task goes through the documents that meet at a key
-and only looks at pairs that it has not linked through others yet; what leaves it is a forest.
-Alike documents first meet at a few keys that they are likely to share, and after that only groups
-whose members are in different components are looked at. A group of more than ``MEET`` documents is
-cut into blocks, and a task gets two of them.
+Before that, documents leave that cannot have a partner. At most a quarter of a document's shingles
+are not a partner's, so of the first n / 4 + 1 + k in the order of hashes they have k + 1 in common,
+in both documents' first ones; ``alone`` counts those that any other document has too. These are
+rows of an ordinary aggregation and join, as many as the documents have first shingles.
+
+Of its blocks, a document offers only the rarest n / 3 + 1: as at most n / 3 are not a partner's,
+the rarest common block is among the offers of both. So blocks that very many documents share are
+hardly ever offered. Where documents meet, bit sketches (one bit flipped for each shingle) whose
+distance is more than the symmetric difference can be rule a pair out, and the others are verified
+on their sets of 64-bit shingle hashes (see ``words.multipliers`` on unequal shingles of one hash).
+
+Documents meet at the blocks of their sketches in two rounds. The first takes the ``PROBES`` blocks
+with the smallest keys of each sketch; what a task returns is a forest of verified links, not the
+pairs of a group, and a group of very many documents is cut into parts at random, each part a task.
+In the second round documents meet at all blocks they offer, but only blocks whose documents are
+still in different components count, so a group of copies is done with after the first. There a
+group of more than ``MEET`` documents is cut into blocks, and a task gets two of them.
 
 Defined edge cases: null, empty and blank texts have no shingles and are linked with nothing; a
-text of fewer than five words is one shingle; equal rows are linked (if they have words); an empty
-table gives an empty result; rows without doc_id are left out; other columns are not read. ``doc_id``
-identifies a text.
+text of fewer than five words is one shingle; equal rows are linked (if they have words), and every
+row has a row in the result; where one doc_id has several texts, each row is judged by its own; an
+empty table gives an empty result; rows without doc_id are left out (``one_of_each`` keeps them);
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import Shards, among, components, copies, merged, table_of_rows
+from .exchange import components, table_of_rows
 from .shared import discarded, released, written
 from .words import NONBLANK, WordHasher, grouped, mixed, ngrams
 
 HASHER = WordHasher(NONBLANK)
-#: A task looks at groups of about so many documents.
-MEET = 1024
-#: Bits of the sketches that rule pairs out, and the keys at which alike documents first meet.
+#: A task looks at groups of about so many documents, and so many shingles.
+MEET, MEET_SHINGLES = 1024, 1 << 21
+#: Bits of the sketches that rule pairs out, and the blocks of each sketch at which documents first meet.
 BITS, PROBES = 1024, 3
-#: Blocks of the sketches of small sets; larger sets have as many blocks as the smallest set of their band has shingles.
-LEAST_BLOCKS = 4096
+#: In bands that begin below this, each shingle has a block of its own; in others there are as many blocks as the largest set of the band has shingles.
+SMALL = 256
 
 
 def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
@@ -67,53 +75,83 @@ def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
 
 
 def bands(most: int) -> np.ndarray:
-    """The smallest size of each band, up to that of ``most``; each band spans a third of it."""
+    """The smallest size of each band, up to that of ``most``; a band spans a factor of four."""
     out = [1]
     while out[-1] <= most:
-        out.append(max(out[-1] + 1, out[-1] * 4 // 3))
+        out.append(4 * out[-1])
     return np.array(out)
 
 
-def sketch(hashes: np.ndarray, band: int, least: int, whole: bool = False) -> np.ndarray:
-    """Keys of the blocks in use: each stands for the band, the block and the XOR of its shingles' bits."""
-    spread = mixed(hashes + np.uint64((band + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-    blocks = spread if whole else spread % np.uint64(least if least >= 64 else LEAST_BLOCKS)
+def sketch(hashes: np.ndarray, band: int, least: int, salt: int = 0) -> np.ndarray:
+    """Sorted keys of the blocks in use: each stands for the band, the block and the XOR of its shingles' bits."""
+    spread = mixed(hashes + np.uint64((band + 1 + (salt << 20)) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    blocks = spread if least < SMALL else spread % np.uint64(4 * least)
     order = np.argsort(blocks, kind="stable")
     blocks, bits = blocks[order], hashes[order]
     at = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
-    return mixed(np.bitwise_xor.reduceat(bits, at) * np.uint64(0x9E3779B97F4A7C15) + blocks[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band + 1))
+    return np.sort(mixed(np.bitwise_xor.reduceat(bits, at) * np.uint64(0x9E3779B97F4A7C15) + blocks[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band + 1)))
 
 
-def _survivors(percent: int, drop: int):
-    def f(ids: list[int], texts: list[bytes], answers: list[tuple], shard: int) -> pa.Table:
-        known, rows = merged(a[0] for a in answers), []
-        for doc, h in zip(ids, shingles(texts), strict=True):
-            n = len(h)
-            common = h[among(h >> np.uint64(drop), known)]
-            if n and 100 * len(common) >= percent * n:
-                probes = [int(mixed(common + np.uint64(k + 1)).min().view(np.int64)) for k in range(PROBES)]
-                rows.append((doc, n, h.tobytes(), probes, bit_sketches([h]).tobytes()))
-            else:
-                rows.append((doc, n, None, None, None))
-        return table_of_rows(rows, ("doc_id", "n", "hashes", "probes", "bits"), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Lists of 64-bit numbers."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
-    return f
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids and texts of a few documents at a time, about a megabyte."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) >> 20, prepend=0)) if len(sizes) else sizes
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+            if a < b:
+                yield batch.column(0).slice(a, b - a), [t or b"" for t in batch.column(1).slice(a, b - a).cast(pa.binary()).to_pylist()]
 
-def _keys(docs: DataFrame, whole: bool) -> DataFrame:
-    """(key, band, doc_id, used, offers): a row for each of the ``used`` blocks of each sketch; ``offers``: n / 3 + 1."""
+
+def first_shingles(n: int, percent: int) -> tuple[int, int]:
+    """Of n shingles in the order of hashes, how many to look at, and how many of those a partner has at least among its own first ones."""
+    return (100 - percent) * n // 100 + 1 + n // 20, percent * n // 100 // 20 + 1
+
+
+def _sets(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, digest of the text, n, need, and the first shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, sizes = np.frombuffer(raw, np.uint64), bands(n)
-                for band in range(int(np.searchsorted(sizes, -(-3 * n // 4), "right")) - 1, int(np.searchsorted(sizes, n, "right"))):
-                    keys = sketch(h, band, int(sizes[band]), whole)
-                    k = len(keys)
-                    columns = (keys.view(np.int64), np.full(k, band, np.int32), np.full(k, doc), np.full(k, k, np.int32), np.full(k, n // 3 + 1, np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "band", "doc_id", "used", "offers"])
+        for ids, texts in _texts(batches):
+            sets = shingles(texts)
+            bounds = [first_shingles(len(h), percent) for h in sets]
+            firsts = [h[:k] for h, (k, _) in zip(sets, bounds, strict=True)]
+            columns = [ids, pa.array([hashlib.sha256(t).digest() for t in texts]), pa.array(list(map(len, sets)), pa.int64()), pa.array([k for _, k in bounds], pa.int64()), lists(firsts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "need", "firsts"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long, need long, firsts array<long>")
+
+
+def _may_have_partners(sets: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The doc_ids of different texts that have enough of their first shingles in common with other texts."""
+    # of equal texts the first, found by ids: a text that a third of the rows have is one row here
+    one = sets.where("n > 0").join(firsts, ["doc_id", "digest"], "left_semi")
+    rows = one.select("doc_id", F.explode("firsts").alias("h"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("h")
+    met = rows.join(shared, "h").groupBy("doc_id").agg(F.count(F.lit(1)).alias("met"))
+    return sets.select("doc_id", "need").join(met, "doc_id").where("met >= need").select("doc_id").distinct()
+
 
-    return docs.select("doc_id", "n", "hashes").mapInArrow(run, "key long, band int, doc_id long, used int, offers int")
+def _candidates(docs: DataFrame, salt: int) -> DataFrame:
+    """doc_id, n, hashes, bits, sketches and ``full`` (a sketch has too few blocks in use) of different texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _texts(batches):
+            sets, rows = shingles(texts), []
+            for doc, h, bits in zip(ids.to_pylist(), sets, bit_sketches(sets), strict=True):
+                sizes, n = bands(len(h)), len(h)
+                between = range(int(np.searchsorted(sizes, -(-3 * n // 4), "right")) - 1, int(np.searchsorted(sizes, n, "right")))
+                found = [{"band": band, "keys": sketch(h, band, int(sizes[band]), salt).view(np.int64)} for band in between]
+                rows.append((doc, n, h.tobytes(), bits.tobytes(), found, any(len(f["keys"]) <= n // 3 for f in found)))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64()))])), pa.bool_())
+            yield from table_of_rows(rows, ("doc_id", "n", "hashes", "bits", "sketches", "full"), kinds).to_batches()
+
+    return docs.mapInArrow(run, "doc_id long, n long, hashes binary, bits binary, sketches array<struct<band: int, keys: array<long>>>, full boolean")
 
 
 def bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -125,20 +163,17 @@ def bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def forest(docs: list[int], component: np.ndarray, half: np.ndarray, crossed: bool, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever is linked among the documents and not yet in one component.
-
-    With ``crossed``, only pairs of different ``half`` are looked at.
-    """
+def forest(docs: list[int], sets: list[np.ndarray], bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever is linked among the documents."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     docs, sets = [docs[i] for i in order], [sets[i] for i in order]
-    component, half, size, bits = component[order].copy(), half[order], size[order], bit_sketches(sets)
+    component, size, bits = np.arange(len(docs)), size[order], bits[order]
     edges = []
     for i, s in enumerate(sets):
         end = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
         other = np.arange(i + 1, end)
-        other = other[(component[other] != component[i]) & ((half[other] != half[i]) if crossed else True)]
+        other = other[component[other] != component[i]]
         if len(other):
             apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
             other = other[apart * (100 + percent) <= (100 - percent) * (size[other] + size[i])]
@@ -160,17 +195,19 @@ def _halved(members: DataFrame, *columns: str) -> DataFrame:
 
 
 def _forests(members: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) that connect what is alike among the documents that meet: ``members`` has key, doc_id, docs, hashes."""
+    """Verified links (a, b) that connect what is alike among the documents that meet, or among parts of them where they are many.
+
+    ``members`` has key, doc_id, docs and shingles of the key, hashes, bits.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        rows = {}
-        for half, doc, raw in zip(*(table.column(c).to_pylist() for c in ("half", "doc_id", "hashes")), strict=True):
-            rows[doc] = (half, np.frombuffer(raw, np.uint64))
-        ids = sorted(rows)
-        edges = forest(ids, np.arange(len(ids)), np.array([rows[d][0] for d in ids]), table.column("x")[0] != table.column("y")[0], [rows[d][1] for d in ids], percent)
+        ids, hashes, bits = (table.column(c).to_pylist() for c in ("doc_id", "hashes", "bits"))
+        edges = forest(ids, [np.frombuffer(h, np.uint64) for h in hashes], np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64), percent)
         return table_of_rows(edges, ("a", "b"), (pa.int64(), pa.int64()))
 
-    return _halved(members, "hashes").groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+    parts = F.ceil(F.greatest(F.col("docs") / F.lit(MEET), F.col("shingles") / F.lit(MEET_SHINGLES)))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), parts).cast("int"))
+    return dealt.select("key", "part", "doc_id", "hashes", "bits").groupBy("key", "part").applyInArrow(run, "a long, b long")
 
 
 def close(component: np.ndarray, half: np.ndarray | None, size: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,31 +284,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of ``docs`` (doc_id, n, hashes, probes, bits), different texts that may have partners."""
-    nodes = docs.select(F.col("doc_id").alias("node"))
-    # likely keys first: most of what is alike ends up in one component
-    likely = docs.select("doc_id", F.explode("probes").alias("key"))
-    sizes = likely.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    likely = written(likely.join(written(sizes, "probes"), "key"), "likely")
-    edges = written(_forests(likely.join(docs.select("doc_id", "hashes"), "doc_id"), percent), "edges")
+    """(node, component) of ``docs`` as _candidates makes them."""
+    nodes = docs.select(F.col("doc_id").alias("node")).distinct()
+    sketches = docs.select("doc_id", "n", F.explode("sketches").alias("s"))
+    # first round: most of what is alike ends up in one component
+    likely = sketches.select("doc_id", "n", F.explode(F.slice("s.keys", 1, PROBES)).alias("key"))
+    sizes = likely.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
+    likely = written(likely.select("doc_id", "key").join(sizes, "key"), "likely")
+    edges = written(_forests(likely.join(docs.select("doc_id", "hashes", "bits"), "doc_id"), percent), "edges")
     found = written(components(nodes, edges), "components")
-    # then the guarantee: the rarest blocks of each sketch
-    keys = written(_keys(docs, False), "keys")
-    if keys.where("used < offers").limit(1).count():  # too many shingles fell into one block: one block for each
-        keys = written(_keys(docs, True), "keys")
-    groups = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1"), "blocks")
+    discarded(likely)
+    released(docs.sparkSession)
+    # second round: the guarantee, by the rarest blocks of each sketch
+    keys = sketches.select("doc_id", "s.band", F.size("s.keys").alias("used"), F.expr("int(n div 3 + 1)").alias("offers"), F.explode("s.keys").alias("key"))
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = keys.join(groups, "key")
     rank = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy("docs", "key"))
     alone = F.col("used") - F.count(F.lit(1)).over(Window.partitionBy("doc_id", "band"))  # blocks of this document only: the rarest
     offered = written(shared.withColumn("rank", rank + alone).where("rank <= offers").select("key", "doc_id"), "offered")
-    discarded(keys)
     released(docs.sparkSession)
     named = offered.join(found.withColumnRenamed("node", "doc_id"), "doc_id")
     open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).where("lo < hi")
     left = named.join(written(open_keys.select("key", "docs"), "open"), "key")
     pairs = written(_pairs(left.join(docs.select("doc_id", "n", "bits"), "doc_id"), percent), "pairs")
-    more = written(_verified(pairs, docs, percent), "edges")
-    return components(nodes, edges.unionByName(more))
+    discarded(offered)
+    more = _verified(pairs, docs, percent).join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b")
+    more = written(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "edges")
+    discarded(pairs)
+    # the components of components
+    firsts = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    joined = components(firsts, more).toDF("component", "first")
+    return found.join(joined, "component", "left").select("node", F.coalesce("first", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -279,22 +322,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not 75 <= percent <= 100:
         raise ValueError("the sketches are made for similarities of 0.75 or more")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    _, others = copies(docs)
-    shards = Shards(docs, others)
-    shared = shards.shared(shingles)
+    sets = written(_sets(docs, percent), "sets")
+    firsts = sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    some = written(_may_have_partners(sets, firsts), "partners")
     released(docs.sparkSession)
-    sets = written(shards.apply(shared, _survivors(percent, shards.drop), "doc_id long, n long, hashes binary, probes array<long>, bits binary"), "sets")
-    discarded(shared)
+    texts, salt = docs.join(some, "doc_id", "left_semi").distinct(), 0
+    found = written(_candidates(texts, salt), "candidates")
+    while found.where("full").limit(1).count():  # never seen: less likely than one in 10 ** 40 a document
+        discarded(found)
+        salt += 1
+        found = written(_candidates(texts, salt), "candidates")
     released(docs.sparkSession)
-    found = written(links(written(sets.where("hashes is not null").dropDuplicates(["doc_id"]), "candidates"), percent), "components")
-    firsts = sets.select("doc_id", "n").distinct()
-    named = firsts.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    rep = docs.select("doc_id").join(others, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    out = rep.join(named.withColumnRenamed("doc_id", "rep"), "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = written(links(found, percent), "components")
+    discarded(found)
+    rep = sets.select("doc_id", "n", "digest").join(firsts.withColumnRenamed("doc_id", "rep"), "digest")
+    out = rep.join(named, rep["rep"] == named["node"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
+    """One row of each component, of the smallest doc_id, and the rows without doc_id."""
     firsts = near_duplicates(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__pj_id")).distinct()
-    return docs.join(firsts, docs["doc_id"] == F.col("__pj_id"), "left_semi")
+    kept = docs.join(firsts, docs["doc_id"] == F.col("__pj_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -38,15 +38,21 @@ from pyspark.sql import functions as F
 from .anchors import anchors, window_anchors
 from .exchange import Shards, among, copies, merged, packed, table_of_rows, unpacked
 from .shared import released, written
-from .words import byte_table, grouped, mixed, powers
+from .words import grouped, mixed, multipliers
 
 SYMBOL = 8
 #: Documents from which on the windows of an anchor are dealt by their own hashes.
 HOT = 100_000
-VALUES = byte_table(23)
+VALUES = multipliers(256, 23)
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 @dataclass
 class Strings:
     """Strings of a shard in a buffer: where they start and end, the anchor, the place of the document, a hash of the bytes."""

@@ -6,13 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def byte_table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit numbers (a bijection)."""
     h = h ^ (h >> np.uint64(31))
@@ -22,10 +15,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def multipliers(n: int, seed: int = 7) -> np.ndarray:
+    """A number for each of ``n`` places, odd and in no relation to one another.
+
+    A sum of small numbers (bytes, plus one) times these is a multilinear hash: whatever two strings
+    are, one in 2 ** 56 choices of ``seed`` at most gives them one sum, before ``mixed`` spreads it.
+    Powers of one number won't do: some strings collide for every base.
+    """
+    return mixed(np.arange(n, dtype=np.uint64) + np.uint64((seed << 40) + 1)) | np.uint64(1)
 
 
 class WordHasher:
@@ -37,8 +34,9 @@ class WordHasher:
     BLOCK = 1 << 20
 
     def __init__(self, table: bytes, seed: int = 7) -> None:
-        self.table, self.values = table, byte_table(seed)
+        self.table, self.seed, self.values = table, seed, np.arange(1, 257, dtype=np.uint64)
         self.values[32] = 0
+        self.places = multipliers(1 << 12, seed)
 
     def split(self, raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The normalised bytes, and the start and end of each word."""
@@ -48,14 +46,15 @@ class WordHasher:
         return clean, edge[::2], edge[1::2]
 
     def hashes(self, clean: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Polynomial hashes of the words, block by block so that memory follows the block and not the text."""
+        """Hashes of the words, block by block so that memory follows the block and not the text."""
         b, out, i = np.frombuffer(clean, np.uint8), np.empty(len(starts), np.uint64), 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + self.BLOCK)))
             lo, hi = int(starts[i]), int(ends[j - 1])
             lengths = np.diff(np.append(starts[i:j], hi))
             at = np.arange(hi - lo, dtype=np.int64) - np.repeat(starts[i:j] - lo, lengths)
-            values = self.values[b[lo:hi]] * powers(ODD, int((ends[i:j] - starts[i:j]).max()) + int(lengths.max()) + 1)[at]
+            most = int(lengths.max())  # with the blanks behind a word, whose value is 0
+            values = self.values[b[lo:hi]] * (self.places if most <= len(self.places) else multipliers(most, self.seed))[at]
             out[i:j] = np.add.reduceat(values, starts[i:j] - lo)
             i = j
         return mixed(out)
@@ -65,7 +64,7 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n words that follow one another; the last n - 1 words begin none."""
     if len(h) < n:
         return np.empty(0, np.uint64)
-    out, q = np.zeros(len(h) - n + 1, np.uint64), powers(np.uint64(0xD6E8FEB86659FD93), n)
+    out, q = np.zeros(len(h) - n + 1, np.uint64), multipliers(n, 11)
     for k in range(n):
         out += h[k : len(h) - n + 1 + k] * q[k]
     return mixed(out)

@@ -61,17 +61,35 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("meet", [2048, 3])
-def test_matches_brute_force(make_docs, texts, monkeypatch, meet):
+@pytest.mark.parametrize(("meet", "small"), [(2048, 256), (3, 4)])
+def test_matches_brute_force(make_docs, texts, monkeypatch, meet, small):
     monkeypatch.setattr(P, "MEET", meet)
-    monkeypatch.setattr(X, "SHARD_BYTES", 40_000)
+    monkeypatch.setattr(P, "SMALL", small)
     assert result(P.near_duplicates(make_docs(texts))) == brute(list(enumerate(texts)))
 
 
-def test_whole_blocks_when_a_sketch_is_too_full(make_docs, texts, monkeypatch):
-    monkeypatch.setattr(P, "LEAST_BLOCKS", 2)
+def test_a_sketch_that_is_too_full_gets_another_salt(make_docs, texts, monkeypatch):
+    real, salts = P.sketch, []
+
+    def crowded(hashes, band, least, salt=0):
+        return real(hashes, band, least, salt)[: 1 if salt == 0 else None]
+
+    original = P._candidates
+    monkeypatch.setattr(P, "_candidates", lambda docs, salt: salts.append(salt) or original(docs, salt).withColumn("full", P.F.lit(salt == 0)))
     some = texts[:60]
     assert result(P.near_duplicates(make_docs(some))) == brute(list(enumerate(some)))
+    assert salts == [0, 1] and crowded(np.arange(9, dtype=np.uint64), 1, 5).size == 1
+
+
+def test_words_that_fool_powers_are_told_apart(make_docs):
+    """The word of Thue and Morse and its complement have one sum of powers, whatever the base."""
+    docs = []
+    for length in (1024, 2048, 8192):
+        bits = [bin(i).count("1") % 2 for i in range(length)]
+        docs += ["".join("ab"[x ^ y] for x in bits) for y in (0, 1)]
+    assert {c for _, c in result(P.near_duplicates(make_docs(docs))).values()} == set(range(6))
+    words = [d.encode() for d in docs]
+    assert len({int(h[0]) for h in P.shingles(words)}) == 6
 
 
 def test_sketches_differ_in_at_most_the_symmetric_difference():
@@ -79,10 +97,21 @@ def test_sketches_differ_in_at_most_the_symmetric_difference():
     for n in (5, 80, 500):
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: n * 9 // 10], rng.integers(0, 1 << 63, n // 10 + 1, dtype=np.uint64)]))
-        x, y = (set(P.sketch(s, 3, 64).tolist()) for s in (a, b))
+        x, y = (set(P.sketch(s, 3, 300).tolist()) for s in (a, b))
         assert len(x - y) <= len(np.setxor1d(a, b)) and len(y - x) <= len(np.setxor1d(a, b))
 
 
+def test_partners_have_first_shingles_in_common():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 5, 19, 20, 21, 80, 81, 400):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([rng.permutation(a)[: -(-9 * n // 10)], rng.integers(0, 1 << 63, n // 12, dtype=np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
+                (ka, need_a), (kb, need_b) = (P.first_shingles(len(s), 75) for s in (a, b))
+                assert len(np.intersect1d(a[:ka], b[:kb])) >= max(need_a, need_b)
+
+
 def test_bit_sketches_are_a_lower_bound():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
@@ -112,10 +141,16 @@ def test_one_of_each_and_empty(make_docs, texts, spark):
     want = brute(list(enumerate(texts)))
     assert sorted(r.doc_id for r in P.one_of_each(docs).collect()) == sorted({c for _, c in want.values()})
     assert P.near_duplicates(make_docs([])).count() == 0
-    unnamed = make_docs(["a b c", "a b c"]).withColumn("doc_id", P.F.expr("nullif(doc_id, 0)"))
-    assert [tuple(r) for r in P.near_duplicates(unnamed).collect()] == [(1, 1, 1)]
-    twice = make_docs(["a b c d e f", "x"]).union(make_docs(["a b c d e f", "x"]))
-    assert sorted(map(tuple, P.near_duplicates(twice).collect())) == [(0, 2, 0), (0, 2, 0), (1, 1, 1), (1, 1, 1)]
+
+
+def test_rows_that_repeat_or_have_no_id(make_docs):
+    rows = make_docs(["a b c d e f", "x", "none none", "u v w"]).withColumn("doc_id", P.F.expr("nullif(doc_id, 2)"))
+    again = make_docs(["a b c d e f", "x"]).union(make_docs(["q r"]).selectExpr("5l", "text", "lang", "source", "n_chars")).union(make_docs(["x"]).selectExpr("5l", "text", "lang", "source", "n_chars"))
+    found = P.near_duplicates(rows.union(again))
+    assert sorted(map(tuple, found.collect())) == [(0, 2, 0), (0, 2, 0), (1, 1, 1), (1, 1, 1), (3, 1, 3), (5, 1, 1), (5, 1, 5)]
+    # rows without an id stay; of equal rows one does
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in P.one_of_each(rows.union(again)).collect())
+    assert [k for k in kept if k != (5, "x")] == [(-1, "none none"), (0, "a b c d e f"), (1, "x"), (3, "u v w"), (5, "q r")]
 
 
 def test_query(spark, sample):
