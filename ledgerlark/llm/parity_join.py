@@ -40,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import slices
 from .exchange import components, table_of_rows
 from .shared import discarded, released, written
 from .words import NONBLANK, WordHasher, grouped, mixed, ngrams
@@ -98,16 +98,6 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """Ids and texts of a few documents at a time, about a megabyte."""
-    for batch in batches:
-        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) >> 20, prepend=0)) if len(sizes) else sizes
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
-            if a < b:
-                yield batch.column(0).slice(a, b - a), [t or b"" for t in batch.column(1).slice(a, b - a).cast(pa.binary()).to_pylist()]
-
-
 def first_shingles(n: int, percent: int) -> tuple[int, int]:
     """Of n shingles in the order of hashes, how many to look at, and how many of those a partner has at least among its own first ones."""
     return (100 - percent) * n // 100 + 1 + n // 20, percent * n // 100 // 20 + 1
@@ -117,7 +107,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, digest of the text, n, need, and the first shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for ids, texts in slices(batches, 1, raw=True):
             sets = shingles(texts)
             bounds = [first_shingles(len(h), percent) for h in sets]
             firsts = [h[:k] for h, (k, _) in zip(sets, bounds, strict=True)]
@@ -141,7 +131,7 @@ def _candidates(docs: DataFrame, salt: int) -> DataFrame:
     """doc_id, n, hashes, bits, sketches and ``full`` (a sketch has too few blocks in use) of different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for ids, texts in slices(batches, 1, raw=True):
             sets, rows = shingles(texts), []
             for doc, h, bits in zip(ids.to_pylist(), sets, bit_sketches(sets), strict=True):
                 sizes, n = bands(len(h)), len(h)
@@ -294,7 +284,6 @@ def links(docs: DataFrame, percent: int) -> DataFrame:
     edges = written(_forests(likely.join(docs.select("doc_id", "hashes", "bits"), "doc_id"), percent), "edges")
     found = written(components(nodes, edges), "components")
     discarded(likely)
-    released(docs.sparkSession)
     # second round: the guarantee, by the rarest blocks of each sketch
     keys = sketches.select("doc_id", "s.band", F.size("s.keys").alias("used"), F.expr("int(n div 3 + 1)").alias("offers"), F.explode("s.keys").alias("key"))
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
@@ -302,7 +291,6 @@ def links(docs: DataFrame, percent: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy("docs", "key"))
     alone = F.col("used") - F.count(F.lit(1)).over(Window.partitionBy("doc_id", "band"))  # blocks of this document only: the rarest
     offered = written(shared.withColumn("rank", rank + alone).where("rank <= offers").select("key", "doc_id"), "offered")
-    released(docs.sparkSession)
     named = offered.join(found.withColumnRenamed("node", "doc_id"), "doc_id")
     open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).where("lo < hi")
     left = named.join(written(open_keys.select("key", "docs"), "open"), "key")
@@ -322,9 +310,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not 75 <= percent <= 100:
         raise ValueError("the sketches are made for similarities of 0.75 or more")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = written(_sets(docs, percent), "sets")
+    whole = written(_sets(docs, percent), "sets")
+    firsts = whole.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    some = written(_may_have_partners(whole, firsts), "partners")
+    sets = written(whole.select("doc_id", "n", "digest"), "sizes")
     firsts = sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    some = written(_may_have_partners(sets, firsts), "partners")
+    discarded(whole)
     released(docs.sparkSession)
     texts, salt = docs.join(some, "doc_id", "left_semi").distinct(), 0
     found = written(_candidates(texts, salt), "candidates")

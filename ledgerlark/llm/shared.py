@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs that are over, which it does once their plans are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of jobs that are over, which it does, a little later, once their plans are garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discarded(df: DataFrame) -> None:
