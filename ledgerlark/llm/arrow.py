@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,3 +44,15 @@ def quoted(names: list[str]) -> list[str]:
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null is empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, *others: int, raw: bool = False) -> Iterator[tuple]:
+    """Of about a megabyte of texts at a time: the first column, the texts (null is empty; bytes if ``raw``), other columns by place."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) >> 20, prepend=0)).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+            if a < b:
+                part = batch.slice(a, b - a)
+                texts = part.column(text).cast(pa.binary()) if raw else part.column(text)
+                yield (part.column(0), [t or (b"" if raw else "") for t in texts.to_pylist()], *(part.column(c) for c in others))

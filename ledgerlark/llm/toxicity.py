@@ -2,11 +2,13 @@
 
 The kernel counts common subsequences of three characters, each weighted down by the length that
 it spans in either string, so a word still resembles an insult when characters are put between its
-letters. Landmarks are words that mark labelled toxic texts; the squares of the kernel values with
-them (a kernel too), whitened by the landmarks' own matrix of squares, are a word's features. A
-text's features are the largest and the (damped) sum over its words. A linear machine with squared
-hinge loss separates labelled texts and their sentences, which have their text's label, and a
-logistic curve turns a text's margin into a score.
+letters. Landmarks are words of labelled texts of both kinds: those that tell the kinds apart best,
+half of them for either, without words that the ones before them already span. A text's row has,
+for each landmark, the largest and the (damped) sum of the squared kernel values (a kernel too) over
+its words; multiplied by the inverse root of the landmarks' own matrix it is the text's Nystroem
+features. A linear machine with squared hinge loss separates labelled texts and their sentences,
+which have their text's label and together its weight, and a logistic curve turns a text's margin
+into a score.
 
 Every kernel value counts, however small; only a word that has no subsequence of three characters in
 common with a landmark has value 0. Letters spelled one by one are read as one word.
@@ -28,31 +30,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import slices
 from .quality_net import chosen, sigmoid
+from .shared import written
 
 LONGEST = 24
 
 
 @dataclass(frozen=True)
 class Settings:
-    landmarks: int = 96
+    landmarks: int = 64
     decay: float = 0.8
-    #: The machine is fitted on at most so many labelled rows, those with the smallest hashes of their doc_id.
-    max_rows: int = 20_000
-    #: Least texts that a landmark occurs in.
+    #: The power of the kernel, a kernel too, whose values are taken.
+    power: int = 4
+    #: The machine is fitted on at most so many labelled texts, those with the smallest hashes of their doc_id ...
+    max_rows: int = 10_000
+    #: ... and at most so many of all their sentences, those with the smallest hashes of doc_id and place.
+    max_sentences: int = 40_000
+    #: Least texts that a landmark occurs in, and how much of its squared norm (1) others may not span.
     least: int = 3
+    apart: float = 0.3
     penalty: float = 1.0
-    #: Sentences of a labelled text that the machine is fitted on besides the whole, those with the words nearest to a landmark.
-    sentences: int = 4
-    #: Words whose features a task keeps.
+    #: Distinct words whose kernel values a task keeps.
     known: int = 100_000
 
 
 def coded(words: list[str], width: int = LONGEST, pad: int = -1) -> np.ndarray:
-    out = np.full((len(words), width), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.int32)
-    return out
+    """The characters of words of at most ``width``, one word a row."""
+    return np.frombuffer("".join(w.ljust(width, "\uffff") for w in words).encode("utf-32-le", "surrogatepass"), np.int32).reshape(-1, width) if pad == -1 else np.where(coded(words, width) == 0xFFFF, pad, coded(words, width))
 
 
 def kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
@@ -80,47 +85,62 @@ MARKS = "\"'.,;:!?()[]{}<>#*$%&|-_~`+=/@^"
 DROPPED = str.maketrans("", "", MARKS)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words without marks; longer ones in overlapping pieces."""
+def pieces(token: str) -> list[str]:
+    """A token without marks; a longer one in overlapping pieces."""
+    w = token if token.isalnum() else token.translate(DROPPED)
+    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST // 2)]
+
+
+def tokens_of(text: str) -> list[str]:
+    """Lower-case tokens, those spelled letter by letter once more as one."""
     low = text.lower()
-    words = [w if w.isalnum() else w.translate(DROPPED) for w in low.split()]
-    words += ["".join(m[0].split()) for m in SPELLED.finditer(low)]
-    if len(max(words, key=len, default="")) > LONGEST:
-        words = [p for w in words for p in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST // 2)])]
-    return words
+    return low.split() + ["".join(m[0].split()) for m in SPELLED.finditer(low)]
+
+
+def words_of(text: str) -> list[str]:
+    return [p for t in tokens_of(text) for p in pieces(t)]
 
 
 class Features:
     """Every kernel value of a word with the landmarks, none left out.
 
     The kernel is a product of two vectors of subsequences, and only those of the landmarks count: a
-    table has them with their weights in each landmark, and a word's own are looked up in it.
+    table has, for each of them, the landmarks it occurs in with its weights, and a word's own
+    subsequences are looked up in it.
     """
 
     def __init__(self, landmarks: list[str], s: Settings) -> None:
         self.s, self.names = s, landmarks
         k = len(landmarks)
-        self.alphabet = np.unique(coded(landmarks, max(map(len, landmarks))))
-        self.alphabet = self.alphabet[self.alphabet >= 0]
+        self.alphabet = np.unique([ord(c) for w in landmarks for c in w] or [0])
         self.base = len(self.alphabet) + 1
-        rows: dict[int, np.ndarray] = {}
+        rows: dict[int, dict[int, float]] = {}
         for i, w in enumerate(landmarks):
             at = self.places(coded([w], len(w)))[0].tolist()
             for x, y, z in combinations(range(len(w)), 3):
-                rows.setdefault((at[x] * self.base + at[y]) * self.base + at[z], np.zeros(k))[i] += s.decay ** (z - x + 1)
-        self.triples = np.array(sorted(rows) or [0])
-        self.table = np.array([rows[x] for x in sorted(rows)] or [np.zeros(k)])
-        raw = self.table.T @ self.table
+                found = rows.setdefault((at[x] * self.base + at[y]) * self.base + at[z], {})
+                found[i] = found.get(i, 0.0) + s.decay ** (z - x + 1)
+        # the place of each subsequence's landmarks and weights in two flat arrays
+        triples = sorted(rows)
+        self.row = np.full(self.base**3, len(triples), np.int32)
+        self.row[triples] = np.arange(len(triples))
+        self.count = np.array([*(len(rows[t]) for t in triples), 0])
+        self.first = np.cumsum(self.count) - self.count
+        self.landmark = np.array([i for t in triples for i in rows[t]], np.int64)
+        self.weight = np.array([v for t in triples for v in rows[t].values()])
+        table = np.zeros((len(triples), k))
+        table[np.repeat(np.arange(len(triples)), self.count[:-1]), self.landmark] = self.weight
+        raw = table.T @ table
         self.own = np.sqrt(np.diag(raw))
-        gram = (raw / np.maximum(np.outer(self.own, self.own), 1e-9)) ** 2
-        self.table = self.table.astype(np.float32)
-        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        self.whiten = (vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T).astype(np.float32)
+        self.gram = (raw / np.maximum(np.outer(self.own, self.own), 1e-9)) ** s.power
+        values, vectors = np.linalg.eigh((self.gram + self.gram.T) / 2)
+        self.whiten = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows, self.peaks = np.zeros((0, len(self.names)), np.float32), np.zeros(0, np.float32)
+        #: The squared values of known tokens; the first row is of none.
+        self.rows, self.long = np.zeros((1, len(self.names)), np.float32), {}
 
     @property
     def size(self) -> int:
@@ -129,86 +149,113 @@ class Features:
     def places(self, codes: np.ndarray) -> np.ndarray:
         """1 and up for the landmarks' characters, 0 for others."""
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == codes, at + 1, 0)
+        return np.where(self.alphabet[at] == codes, at + 1, 0).astype(np.int32)
 
     def values(self, words: list[str]) -> np.ndarray:
         """The kernel values of the words with each landmark."""
-        out = np.zeros((len(words), len(self.names)), np.float32)
+        k = len(self.names)
+        out = np.zeros((len(words), k), np.float32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lengths[lengths >= 3]).tolist():
             x, y, z = np.array(list(combinations(range(n), 3))).T
-            weight, of = (self.s.decay ** (z - x + 1)).astype(np.float32), np.nonzero(lengths == n)[0]
-            step = max(1, 200_000 // len(x))
+            weight, of = self.s.decay ** (z - x + 1), np.nonzero(lengths == n)[0]
+            step = max(1, 400_000 // len(x))
             for i in range(0, len(of), step):
                 w = of[i : i + step]
                 codes = coded([words[j] for j in w.tolist()], n)
                 at = self.places(codes)
-                triple = (at[:, x] * self.base + at[:, y]) * self.base + at[:, z]
-                row = np.minimum(np.searchsorted(self.triples, triple), len(self.triples) - 1)
-                r, c = np.nonzero(self.triples[row] == triple)
-                if len(r):
-                    first = np.nonzero(np.r_[True, r[1:] != r[:-1]])[0]
-                    out[w[r[first]]] = np.add.reduceat(self.table[row[r, c]] * weight[c][:, None], first, axis=0)
-        some = np.nonzero(out.any(1))[0]
-        some = some[np.argsort(lengths[some], kind="stable")]  # like lengths together: the kernel's work follows the longest
-        for i in range(0, len(some), 4096):
-            w = some[i : i + 4096]
-            codes = coded([words[j] for j in w.tolist()], int(lengths[w].max()))
-            own = np.sqrt(kernel(codes, np.where(codes == -1, -2, codes), self.s.decay))
-            out[w] /= own[:, None] * self.own.astype(np.float32)
+                row = self.row[(at[:, x] * self.base + at[:, y]) * self.base + at[:, z]]
+                r, c = np.nonzero(self.count[row])
+                if not len(r):
+                    continue
+                hit = row[r, c]
+                many = self.count[hit]
+                entry = np.repeat(self.first[hit] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                sums = np.bincount(np.repeat(r, many) * k + self.landmark[entry], self.weight[entry] * np.repeat(weight[c], many), len(w) * k).reshape(-1, k)
+                some = np.nonzero(sums.any(1))[0]
+                codes = codes[some]
+                own = np.sqrt(kernel(codes, codes, self.s.decay))
+                out[w[some]] = sums[some] / (own[:, None] * self.own)
         return out
 
     def near(self, words: list[str]) -> dict[str, np.ndarray]:
-        """The features of the words that have a kernel value other than 0."""
-        raw = self.values(words)
-        return {w: (v * v) @ self.whiten for w, v in zip(words, raw, strict=True) if v.any()}
-
-    def learn(self, words: list[str]) -> None:
-        """Keeps the whitened squares of the kernel values of new words, and the largest kernel value of each."""
-        for j in range(0, len(words), 20_000):
-            part = words[j : j + 20_000]
-            raw = self.values(part)
-            lo, hi = len(self.known), len(self.known) + len(part)
-            if hi > len(self.rows):
-                more = max(hi, 2 * len(self.rows)) - len(self.rows)
-                self.rows, self.peaks = np.pad(self.rows, ((0, more), (0, 0))), np.pad(self.peaks, (0, more))
-            self.known.update(zip(part, range(lo, hi), strict=True))
-            self.rows[lo:hi], self.peaks[lo:hi] = (raw * raw) @ self.whiten, raw.max(1)
+        """The squared kernel values of the words that have one other than 0."""
+        return {w: v * v for w, v in zip(words, self.values(words), strict=True) if v.any()}
+
+    def learn(self, tokens: list[str]) -> None:
+        """Keeps the squares of the kernel values of new tokens; a longer one's pieces are kept under numbers of their own."""
+        for j in range(0, len(tokens), 20_000):
+            parts = {t: pieces(t) for t in tokens[j : j + 20_000]}
+            words = [w for p in parts.values() for w in p]
+            raw = self.values(words)
+            square, at, some = raw**self.s.power, len(self.rows), raw.any(1).tolist()
+            number = np.where(some, at - 1 + np.cumsum(some), 0).tolist()
+            self.rows = np.concatenate([self.rows, square[some]])
+            i = 0
+            for t, p in parts.items():
+                self.known[t] = number[i]
+                if len(p) > 1:
+                    self.known[t], self.long[t] = 0, number[i : i + len(p)]
+                i += len(p)
+
+    def pooled(self, texts: list[str]) -> np.ndarray:
+        """For each text and landmark the largest squared value of its words, and their sum."""
+        k = len(self.names)
+        out = np.zeros((len(texts), 2, k))
+        if len(self.rows) > self.s.known:
+            self.clear()
+        cut = [tokens_of(t) for t in texts]
+        self.learn(sorted(set().union(*cut).difference(self.known)))
+        for d, tokens in enumerate(cut):
+            at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+            if self.long:
+                at = np.concatenate([at, np.array([n for t in tokens if t in self.long for n in self.long[t]], np.int64)])
+            at = at[at > 0]
+            for i in range(0, len(at), 4096):
+                rows = self.rows[at[i : i + 4096]]
+                np.maximum(out[d, 0], rows.max(0), out=out[d, 0])
+                out[d, 1] += rows.sum(0, dtype=np.float64)
+        return out
 
     def of(self, texts: list[str]) -> np.ndarray:
-        return self.both(texts)[0]
-
-    def both(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The features of each text, and the largest kernel value of its words."""
-        out, peaks, k = np.zeros((len(texts), self.size)), np.zeros(len(texts)), len(self.names)
-        for i in range(0, len(texts), 500):
-            cut = [[w for w in words_of(t) if len(w) >= 3] for t in texts[i : i + 500]]
-            if len(self.known) > self.s.known:
-                self.clear()
-            self.learn(sorted(set().union(*cut).difference(self.known)))
-            for d, words in enumerate(cut, i):
-                if words:
-                    at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-                    rows = self.rows[at]
-                    peaks[d] = self.peaks[at].max()
-                    low, high, total = rows.min(0), rows.max(0), rows.sum(0)
-                    out[d, :k] = np.where(-low > high, low, high)
-                    out[d, k:] = np.sign(total) * np.log1p(np.abs(total))
-        return out, peaks
+        """The Nystroem features of each text."""
+        x = self.pooled(texts)
+        x[:, 1] = np.log1p(x[:, 1])
+        return (x @ self.whiten).reshape(len(texts), -1)
 
 
 def landmarks(rows: DataFrame, s: Settings) -> list[str]:
-    """The words that tell toxic from other texts best, by log-likelihood; ``rows`` has text and label."""
+    """Words of both kinds of texts, those that tell them apart best by log-likelihood first, without what others span.
+
+    ``rows`` has text and label.
+    """
     trimmed = F.translate("w", MARKS, "")
     words = rows.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), "\\s+"))).alias("w")).select("label", trimmed.alias("w")).where(f"length(w) between 3 and {LONGEST // 2 * 2 - 8}")
     n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    counts = words.groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") >= s.least)
-    gain = F.col("a") * F.log((F.col("a") / n.get(1, 1)) / ((F.col("b") + 0.5) / n.get(0, 1)))
-    # the landmarks are a fixed number of words
-    return [r[0] for r in counts.withColumn("gain", F.round(gain, 6)).where("gain > 0").orderBy(F.desc("gain"), "w").limit(s.landmarks).collect()]
-
-
-def machine(x: np.ndarray, y: np.ndarray, whole: np.ndarray, penalty: float, steps: int = 60) -> tuple[np.ndarray, float, float, float]:
+    counts = words.groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") + F.col("b") >= s.least)
+    share = lambda c, label: (F.col(c) + 0.5) / (n.get(label, 0) + 1)
+    gain = lambda c, one, other: F.round(F.col(c) * F.log(one / other), 6).alias("gain")
+    toxic, calm = share("a", 1), share("b", 0)
+    # a few times as many as there will be landmarks: a fixed number of words
+    best = [[r[0] for r in counts.select("w", g).where("gain > 0").orderBy(F.desc("gain"), "w").limit(4 * s.landmarks).collect()] for g in (gain("a", toxic, calm), gain("b", calm, toxic))]
+    return sorted({w for kind in best for w in apart(kind, s)})
+
+
+def apart(words: list[str], s: Settings) -> list[str]:
+    """Of words in order of merit, half of ``landmarks``: those of which the ones before leave enough unexplained (a pivoted Cholesky step each)."""
+    if not words:
+        return []
+    gram = Features(words, s).gram
+    rest, taken, factor = np.diag(gram).copy(), [], np.zeros((len(words), s.landmarks // 2))
+    for i in range(len(words)):
+        if len(taken) < s.landmarks // 2 and rest[i] >= s.apart:
+            factor[:, len(taken)] = (gram[:, i] - factor @ factor[i]) / np.sqrt(rest[i])
+            rest = rest - factor[:, len(taken)] ** 2
+            taken.append(words[i])
+    return taken
+
+
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, whole: np.ndarray, penalty: float, steps: int = 60) -> tuple[np.ndarray, float, float, float]:
     """Weights and bias of a linear machine with squared hinge loss, by Newton steps, and the slope and shift of its logistic curve.
 
     The curve is fitted on the rows that are ``whole`` texts.
@@ -219,7 +266,8 @@ def machine(x: np.ndarray, y: np.ndarray, whole: np.ndarray, penalty: float, ste
     for _ in range(steps):
         inside = 1 - t * (a @ w) > 0
         b = a[inside]
-        new = np.linalg.solve(np.diag(reg) + 2 * penalty * b.T @ b, 2 * penalty * b.T @ t[inside])
+        c = b * weight[inside, None]
+        new = np.linalg.solve(np.diag(reg) + 2 * penalty * c.T @ b, 2 * penalty * c.T @ t[inside])
         if np.abs(new - w).max() < 1e-9:
             break
         w = new
@@ -234,12 +282,21 @@ def machine(x: np.ndarray, y: np.ndarray, whole: np.ndarray, penalty: float, ste
     return w[:-1], float(w[-1]), slope, shift
 
 
+def sentences(text: str) -> list[str]:
+    """The parts of a text that have words."""
+    return [p for p in SENTENCE_END.split(text) if p and not p.isspace()]
+
+
+FITTED = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+NAMES = ("doc_id", "label", "part", "parts", "x")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id and ``score`` of every row of ``docs``; ``labels`` (doc_id, label 0 or 1) are those to learn from."""
     spark = docs.sparkSession
     some = chosen(labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")), s.max_rows)
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
-    picked = picked.select(F.col("doc_id").cast("long"), "text", "label")
+    picked = written(picked.select(F.col("doc_id").cast("long"), "text", "label"), "picked")
     names = landmarks(picked, s)
     model = None
     if names:
@@ -247,34 +304,30 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = Features(*maker.value)
-            for batch in batches:
-                ids, labels, part, rows = [], [], [], []
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc, text, label, x in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), f.of(texts), strict=True):
-                    own, near = f.both(SENTENCE_END.split(text))
-                    best = np.argsort(-near, kind="stable")[: s.sentences]
-                    own = own[best[near[best] > 0]]
-                    for k, row in enumerate([x, *own]):
-                        ids.append(doc)
-                        labels.append(label)
-                        part.append(k)
-                        rows.append(row.astype(np.float32).tobytes())
-                columns = [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(part, pa.int32()), pa.array(rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "part", "x"])
-
-        # at most max_rows texts, and ``sentences`` of each
-        found = picked.mapInArrow(features, "doc_id long, label int, part int, x binary").collect()
-        got = sorted((tuple(r) for r in found), key=lambda r: (r[0], r[2]))
-        del found
-        if {r[1] for r in got} == {0, 1}:
-            x = np.frombuffer(b"".join(r[3] for r in got), np.float32).reshape(len(got), -1).astype(np.float64)
-            y, whole = np.array([r[1] for r in got], float), np.array([r[2] == 0 for r in got])
-            model = spark.sparkContext.broadcast((names, s, machine(x, y, whole, s.penalty)))
+            for ids, texts, labels in slices(batches, 1, 2):
+                for doc, text, label in zip(ids.to_pylist(), texts, labels.to_pylist(), strict=True):
+                    parts = sentences(text)
+                    rows = f.of([text, *parts]).astype(np.float32)
+                    n = len(rows)
+                    columns = (np.full(n, doc), np.full(n, label), np.arange(n), np.full(n, n), [r.tobytes() for r in rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FITTED, strict=True)], names=list(NAMES))
+
+        found = written(picked.mapInArrow(features, "doc_id long, label int, part int, parts int, x binary"), "fitted")
+        # at most max_rows texts and max_sentences sentences
+        hashed = found.where("part > 0").orderBy(F.xxhash64("doc_id", "part"), "doc_id", "part").limit(s.max_sentences)
+        got = found.where("part = 0").unionByName(hashed).toArrow().sort_by([("doc_id", "ascending"), ("part", "ascending")])
+        y, part, parts = (got.column(c).to_numpy() for c in ("label", "part", "parts"))
+        if set(y.tolist()) == {0, 1}:
+            x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), -1)
+            # the sentences of a text count as much as the text, whatever share of them was taken
+            share = max(int((parts[part == 0] - 1).sum()), 1) / max(int((part > 0).sum()), 1)
+            weight = np.where(part > 0, share / np.maximum(parts - 1, 1), 1.0)
+            model = spark.sparkContext.broadcast((names, s, machine(x, y.astype(float), weight, part == 0, s.penalty)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, (w, bias, slope, shift) = (Features(*model.value[:2]), model.value[2]) if model else (None, (0, 0, 0, 0))
-        for batch in batches:
-            y = sigmoid(slope * (f.of([t or "" for t in batch.column(1).to_pylist()]) @ w + bias) + shift) if f else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y, pa.float64())], names=["doc_id", "score"])
+        for ids, texts in slices(batches, 1):
+            y = sigmoid(slope * (f.of(texts) @ w + bias) + shift) if f else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(y, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
