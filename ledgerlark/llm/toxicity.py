@@ -3,10 +3,9 @@
 The kernel counts common subsequences of three characters, each weighted down by the length that
 it spans in either string, so a word still resembles an insult when characters are put between its
 letters. Landmarks are words of labelled texts of both kinds: those that tell the kinds apart best,
-half of them for either, without words that the ones before them already span. A text's row has,
-for each landmark, the largest and the (damped) sum of the squared kernel values (a kernel too) over
-its words; multiplied by the inverse root of the landmarks' own matrix it is the text's Nystroem
-features. A linear machine with squared hinge loss separates labelled texts and their sentences,
+without words that the ones before them already span. A text's row has, for each landmark, the
+largest and the (damped) sum of a power of the kernel values (a kernel too) over its words;
+multiplied by the inverse root of the landmarks' own matrix it is the text's Nystroem features. A linear machine with squared hinge loss separates labelled texts and their sentences,
 which have their text's label and together its weight, and a logistic curve turns a text's margin
 into a score.
 
@@ -39,14 +38,15 @@ LONGEST = 24
 
 @dataclass(frozen=True)
 class Settings:
-    landmarks: int = 64
+    #: Landmarks from toxic and from other texts.
+    landmarks: tuple[int, int] = (96, 16)
     decay: float = 0.8
     #: The power of the kernel, a kernel too, whose values are taken.
     power: int = 4
     #: The machine is fitted on at most so many labelled texts, those with the smallest hashes of their doc_id ...
     max_rows: int = 10_000
     #: ... and at most so many of all their sentences, those with the smallest hashes of doc_id and place.
-    max_sentences: int = 40_000
+    max_sentences: int = 20_000
     #: Least texts that a landmark occurs in, and how much of its squared norm (1) others may not span.
     least: int = 3
     apart: float = 0.3
@@ -55,9 +55,9 @@ class Settings:
     known: int = 100_000
 
 
-def coded(words: list[str], width: int = LONGEST, pad: int = -1) -> np.ndarray:
-    """The characters of words of at most ``width``, one word a row."""
-    return np.frombuffer("".join(w.ljust(width, "\uffff") for w in words).encode("utf-32-le", "surrogatepass"), np.int32).reshape(-1, width) if pad == -1 else np.where(coded(words, width) == 0xFFFF, pad, coded(words, width))
+def coded(words: list[str], width: int) -> np.ndarray:
+    """The characters of words of ``width``, one word a row."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32).reshape(-1, width)
 
 
 def kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
@@ -139,7 +139,7 @@ class Features:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        #: The squared values of known tokens; the first row is of none.
+        #: The powers of the values of known tokens; the first row is of none.
         self.rows, self.long = np.zeros((1, len(self.names)), np.float32), {}
 
     @property
@@ -179,18 +179,18 @@ class Features:
         return out
 
     def near(self, words: list[str]) -> dict[str, np.ndarray]:
-        """The squared kernel values of the words that have one other than 0."""
-        return {w: v * v for w, v in zip(words, self.values(words), strict=True) if v.any()}
+        """The powers of the kernel values of the words that have one other than 0."""
+        return {w: v**self.s.power for w, v in zip(words, self.values(words), strict=True) if v.any()}
 
     def learn(self, tokens: list[str]) -> None:
-        """Keeps the squares of the kernel values of new tokens; a longer one's pieces are kept under numbers of their own."""
+        """Keeps the powers of the kernel values of new tokens; a longer one's pieces are kept under numbers of their own."""
         for j in range(0, len(tokens), 20_000):
             parts = {t: pieces(t) for t in tokens[j : j + 20_000]}
             words = [w for p in parts.values() for w in p]
             raw = self.values(words)
-            square, at, some = raw**self.s.power, len(self.rows), raw.any(1).tolist()
+            power, at, some = raw**self.s.power, len(self.rows), raw.any(1).tolist()
             number = np.where(some, at - 1 + np.cumsum(some), 0).tolist()
-            self.rows = np.concatenate([self.rows, square[some]])
+            self.rows = np.concatenate([self.rows, power[some]])
             i = 0
             for t, p in parts.items():
                 self.known[t] = number[i]
@@ -199,7 +199,7 @@ class Features:
                 i += len(p)
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        """For each text and landmark the largest squared value of its words, and their sum."""
+        """For each text and landmark the largest power of its words' values, and their sum."""
         k = len(self.names)
         out = np.zeros((len(texts), 2, k))
         if len(self.rows) > self.s.known:
@@ -237,18 +237,18 @@ def landmarks(rows: DataFrame, s: Settings) -> list[str]:
     gain = lambda c, one, other: F.round(F.col(c) * F.log(one / other), 6).alias("gain")
     toxic, calm = share("a", 1), share("b", 0)
     # a few times as many as there will be landmarks: a fixed number of words
-    best = [[r[0] for r in counts.select("w", g).where("gain > 0").orderBy(F.desc("gain"), "w").limit(4 * s.landmarks).collect()] for g in (gain("a", toxic, calm), gain("b", calm, toxic))]
-    return sorted({w for kind in best for w in apart(kind, s)})
+    best = [[r[0] for r in counts.select("w", g).where("gain > 0").orderBy(F.desc("gain"), "w").limit(4 * k).collect()] for g, k in zip((gain("a", toxic, calm), gain("b", calm, toxic)), s.landmarks, strict=True)]
+    return sorted({w for words, k in zip(best, s.landmarks, strict=True) for w in apart(words, k, s)})
 
 
-def apart(words: list[str], s: Settings) -> list[str]:
-    """Of words in order of merit, half of ``landmarks``: those of which the ones before leave enough unexplained (a pivoted Cholesky step each)."""
+def apart(words: list[str], most: int, s: Settings) -> list[str]:
+    """Of words in order of merit, those of which the ones before leave enough unexplained (a pivoted Cholesky step each)."""
     if not words:
         return []
     gram = Features(words, s).gram
-    rest, taken, factor = np.diag(gram).copy(), [], np.zeros((len(words), s.landmarks // 2))
+    rest, taken, factor = np.diag(gram).copy(), [], np.zeros((len(words), most))
     for i in range(len(words)):
-        if len(taken) < s.landmarks // 2 and rest[i] >= s.apart:
+        if len(taken) < most and rest[i] >= s.apart:
             factor[:, len(taken)] = (gram[:, i] - factor @ factor[i]) / np.sqrt(rest[i])
             rest = rest - factor[:, len(taken)] ** 2
             taken.append(words[i])
