@@ -5,8 +5,9 @@ Everything here is a Spark expression; no Python runs on the executors.
 Defined edge cases: a null text counts as an empty one; an empty or all-blank text has zero
 words, fails the base rules and scores 0; without a trusted text that has words every text scores 0,
 so that the base rules alone decide; repeated ``doc_id`` rows are scored one by one; an
-empty table gives an empty result; columns of the input other than those named are ignored or,
-in :func:`filter_documents`, passed through untouched (helper columns carry a ``__qr_`` prefix).
+empty table gives an empty result; other columns pass through, where :func:`score_documents` replaces
+those named like its results and :func:`filter_documents` replaces none (helper columns carry a
+``__qr_`` prefix).
 """
 
 from __future__ import annotations
@@ -102,6 +103,28 @@ def bucket(h: Column, rules: Rules) -> Column:
     return F.pmod(h, F.lit(rules.buckets)).cast("int")
 
 
+def _grams(docs: DataFrame, rules: Rules) -> DataFrame:
+    """A row with its bucket for each word and each pair of neighbouring words."""
+    words = docs.select(words_of(F.coalesce("text", F.lit(""))).alias("w"))
+    grams = window_hashes(words, "w", 2).select(F.concat("__qr_h1", "__qr_h2").alias("g"))
+    return grams.select(F.explode("g").alias("h")).select(bucket(F.col("h"), rules).alias("b"))
+
+
+def _may_be_among(docs: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be one of ``ids``: most others leave here, before their texts are moved.
+
+    The ids' hashes are marked in bitmaps of ``bits`` bits together (8 MB, whatever the input's size).
+    With very many ids fewer rows leave, and nothing else changes.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)) + 1
+    marks = ids.select(place("__qr_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__qr_number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__qr_map"))
+    out = docs.withColumn("__qr_p", place("doc_id"))
+    out = out.join(F.broadcast(marks), F.bitmap_bucket_number("__qr_p") == F.col("__qr_number"))
+    at = "bitmap_bit_position(__qr_p)"
+    marked = F.expr(f"shiftright(cast(conv(hex(substring(__qr_map, cast({at} div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) & 1") == 1
+    return out.where(marked).select(*quoted(docs.columns))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row with ``ratios``: for each bucket, log P(bucket | trusted) - log P(bucket | raw), in parts.
 
@@ -109,13 +132,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> D
     the target. The result has ``rules.buckets`` numbers whatever the input's size, all 0 if the
     target has no word.
     """
-    ids = trusted.select(F.col("doc_id").alias("__qr_id")).where("__qr_id is not null").distinct()
-    # the trusted ids grow with the corpus, so they are never broadcast: one plan at every size
-    marked = docs.select("doc_id", "text").join(ids.withColumn("__qr_in", F.lit(1)).hint("merge"), F.col("doc_id") == F.col("__qr_id"), "left")
-    words = marked.select(F.coalesce("__qr_in", F.lit(0)).alias("t"), words_of(F.coalesce("text", F.lit(""))).alias("w"))
-    grams = window_hashes(words, "w", 2).select("t", F.concat("__qr_h1", "__qr_h2").alias("g"))
-    seen = grams.select("t", F.explode("g").alias("h")).select("t", bucket(F.col("h"), rules).alias("b"))
-    counts = seen.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
+    ids = trusted.select(F.col("doc_id").cast("long").alias("__qr_id")).where("__qr_id is not null").distinct()
+    of = lambda df: _grams(df, rules).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    target = of(_may_be_among(docs.select("doc_id", "text"), ids).join(ids, F.col("doc_id") == F.col("__qr_id"), "left_semi"))
+    zero = F.lit(0).cast("long")
+    counts = of(docs.select("text")).select("b", F.col("n").alias("raw"), zero.alias("target")).unionByName(target.select("b", zero.alias("raw"), F.col("n").alias("target")))
     # absent buckets carry the smoothing alone
     every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
     full = counts.select("b", "raw", "target").unionByName(every).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -142,7 +163,10 @@ def score_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules())
 
 def filter_documents(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that are kept, with its own columns."""
+    # the columns go by place, whatever their names are
+    own = [F.col(q).alias(f"__in_{i}") for i, q in enumerate(quoted(docs.columns))]
     # a filter on ``kept`` alone would be pushed below the steps, each step written out wherever it is
     # used again; it stays above a column that is not deterministic
-    scored = score_documents(docs, trusted, rules).withColumn("__qr_row", F.monotonically_increasing_id())
-    return scored.where(F.col("kept") & (F.col("__qr_row") >= 0)).select(*quoted(docs.columns))
+    scored = score_documents(docs.select("doc_id", "text", *own), trusted, rules).withColumn("__qr_row", F.monotonically_increasing_id())
+    kept = scored.where(F.col("kept") & (F.col("__qr_row") >= 0))
+    return kept.select(*[F.col(f"__in_{i}").alias(c) for i, c in enumerate(docs.columns)])
