@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from ledgerlark.llm import decontamination as D
@@ -49,6 +50,31 @@ def test_matches_brute_force(spark, make_docs, block):
         assert [w for h in r.hits for w in words(raw[h["start"] : h["end"]].decode())] == [w for h in r.hits for w in words(r.text)[h["first"] : h["last"]]]
 
 
+def test_other_columns(spark, make_docs):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = make_docs(TEXTS).selectExpr("*", "1 as n_words", "'x' as Hits", "2 as item", "3 as `dotted.name`", "4 as block")
+    found = D.find(docs, bench)
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "item", "dotted.name", "block", "n_words", "hits", "items"]
+    assert D.clean(docs, bench).columns == [*docs.columns[:-5], *docs.columns[-5:]]
+    assert {r.doc_id: r.n_words for r in found.collect()} == {i: len(words(t)) for i, t in enumerate(TEXTS)}
+
+
+def test_unequal_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(D, "ngrams", lambda h, n: np.full(max(len(h) - n + 1, 0), 5, np.uint64))
+    rows = [("a", "p q"), ("b", "r s t"), ("c", "q p"), ("d", "p q")]
+    (n, runs, items), = D.Windows(rows, 2).search([b"x p q r"])
+    assert (n, [r[:2] for r in runs], items) == (4, [(1, 3)], {"a", "d"})
+
+
+def test_windows_take_little_memory():
+    """A mebibyte of benchmark and its windows: arrays, no objects."""
+    rng = np.random.default_rng(0)
+    text = " ".join(map(str, rng.integers(0, 10**6, 150_000)))
+    w = D.Windows([("a", text)], 10)
+    size = len(w.words) + sum(x.nbytes for k in w.sorted.values() for x in (k.hash, k.start, k.end, k.item, k.maybe))
+    assert size < 6 * len(text) and len(w.sorted[10].hash) == 150_000 - 9
+
+
 def test_clean(spark, make_docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = make_docs(TEXTS)
