@@ -53,6 +53,8 @@ HASHER = WordHasher(NONBLANK)
 MEET, MEET_SHINGLES = 1024, 1 << 21
 #: Bits of the sketches that rule pairs out, and the blocks of each sketch at which documents first meet.
 BITS, PROBES = 1024, 3
+#: Bits that are cut off where documents meet: one of two equal numbers by chance costs a look, no link.
+CUT = np.uint64(16)
 #: In bands that begin below this, each shingle has a block of its own; in others there are as many blocks as the largest set of the band has shingles.
 SMALL = 256
 
@@ -89,7 +91,7 @@ def sketch(hashes: np.ndarray, band: int, least: int, salt: int = 0) -> np.ndarr
     order = np.argsort(blocks, kind="stable")
     blocks, bits = blocks[order], hashes[order]
     at = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
-    return np.sort(mixed(np.bitwise_xor.reduceat(bits, at) * np.uint64(0x9E3779B97F4A7C15) + blocks[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band + 1)))
+    return np.sort(mixed(np.bitwise_xor.reduceat(bits, at) * np.uint64(0x9E3779B97F4A7C15) + blocks[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band + 1))) >> CUT
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -110,7 +112,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
         for ids, texts in slices(batches, 1, raw=True):
             sets = shingles(texts)
             bounds = [first_shingles(len(h), percent) for h in sets]
-            firsts = [h[:k] for h, (k, _) in zip(sets, bounds, strict=True)]
+            firsts = [h[:k] >> CUT for h, (k, _) in zip(sets, bounds, strict=True)]
             columns = [ids, pa.array([hashlib.sha256(t).digest() for t in texts]), pa.array(list(map(len, sets)), pa.int64()), pa.array([k for _, k in bounds], pa.int64()), lists(firsts)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "need", "firsts"])
 
@@ -120,7 +122,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
 def _may_have_partners(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     """The doc_ids of different texts that have enough of their first shingles in common with other texts."""
     # of equal texts the first, found by ids: a text that a third of the rows have is one row here
-    one = sets.where("n > 0").join(firsts, ["doc_id", "digest"], "left_semi")
+    one = sets.where("n > 0").join(firsts.hint("merge"), ["doc_id", "digest"], "left_semi")
     rows = one.select("doc_id", F.explode("firsts").alias("h"))
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("h")
     met = rows.join(shared, "h").groupBy("doc_id").agg(F.count(F.lit(1)).alias("met"))
@@ -317,7 +319,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     firsts = sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     discarded(whole)
     released(docs.sparkSession)
-    texts, salt = docs.join(some, "doc_id", "left_semi").distinct(), 0
+    # one plan at every size
+    texts, salt = docs.join(some.hint("merge"), "doc_id", "left_semi").distinct(), 0
     found = written(_candidates(texts, salt), "candidates")
     while found.where("full").limit(1).count():  # never seen: less likely than one in 10 ** 40 a document
         discarded(found)
