@@ -91,7 +91,7 @@ def sketch(hashes: np.ndarray, band: int, least: int, salt: int = 0) -> np.ndarr
     order = np.argsort(blocks, kind="stable")
     blocks, bits = blocks[order], hashes[order]
     at = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
-    return np.sort(mixed(np.bitwise_xor.reduceat(bits, at) * np.uint64(0x9E3779B97F4A7C15) + blocks[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band + 1))) >> CUT
+    return np.unique(mixed(np.bitwise_xor.reduceat(bits, at) * np.uint64(0x9E3779B97F4A7C15) + blocks[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band + 1)) >> CUT)
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
