@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from .shared import discarded, written
 
-#: Bytes of text a shard, and hashes' bytes a bucket, are meant to have.
-SHARD_BYTES = 5 << 20
+#: Bytes of text a shard is meant to have where all have LEVEL bytes. A shard sends each bucket a row, and there are as many
+#: buckets as shards; with shards as large as the root of the whole, the rows grow in proportion to the input and not as its square.
+SHARD_BYTES, LEVEL, MOST_BYTES = 5 << 20, 1 << 30, 64 << 20
+
+
+def shard_bytes(total: int) -> int:
+    return min(max(int(SHARD_BYTES * (total / LEVEL) ** 0.5), 1 << 16), MOST_BYTES)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -51,8 +56,7 @@ class Shards:
 
     def __init__(self, docs: DataFrame, others: DataFrame) -> None:
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        some = min(4 * docs.sparkSession.sparkContext.defaultParallelism, total >> 18)
-        self.shards = max(-(-total // SHARD_BYTES), some, 1)
+        self.shards = max(-(-total // shard_bytes(total)), 1)
         # as many buckets as shards, a power of two: a bucket gets as many hashes as a shard has
         self.bits = max(3, (self.shards - 1).bit_length())
         # hashes are cut to so many bits that about one in 2 ** 14 looks shared and isn't, which costs work but nothing else

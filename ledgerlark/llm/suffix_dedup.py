@@ -43,14 +43,8 @@ from .words import grouped, mixed, multipliers
 SYMBOL = 8
 #: Documents from which on the windows of an anchor are dealt by their own hashes.
 HOT = 100_000
-VALUES = multipliers(256, 23)
-BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Bytes whose hashes are made at a time.
+BLOCK = 1 << 21
 
 
 @dataclass
@@ -65,9 +59,17 @@ class Strings:
 
 
 def substring_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of parts of ``b``: polynomial, by differences of prefix sums."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUES[b] * powers(BASE, max(len(b), 1))[: len(b)], dtype=np.uint64)))
-    return mixed((sums[end] - sums[start]) * powers(INVERSE, len(b) + 1)[start] + (end - start).astype(np.uint64))
+    """Multilinear hashes of parts of ``b`` (see ``words.multipliers``), which may overlap."""
+    out, size, i = np.empty(len(start), np.uint64), end - start, 0
+    done = np.cumsum(size)
+    places = multipliers(int(size.max(initial=1)), 23)
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(done, done[i] - size[i] + BLOCK, "right")))
+        first = np.cumsum(size[i:j]) - size[i:j]
+        at = np.arange(int(size[i:j].sum())) - np.repeat(first, size[i:j])
+        out[i:j] = np.add.reduceat((b[at + np.repeat(start[i:j], size[i:j])] + np.uint64(1)) * places[at], first)
+        i = j
+    return mixed(out + size.astype(np.uint64))
 
 
 def strings_of(texts: list[bytes], known: np.ndarray, hot: np.ndarray, length: int, drop: int) -> Iterator[tuple[int, int, bytes, np.ndarray, Strings]]:
@@ -178,7 +180,7 @@ def _merge(length: int):
         size, doc = np.concatenate(sizes), np.concatenate([unpacked_ids(d) for d in docs])
         b, start = np.frombuffer(raw, np.uint8), np.cumsum(size) - size
         # equal strings of several shards are one
-        h = np.concatenate([np.empty(0, np.uint64), *(substring_hashes(b[s : s + n], at - s, at - s + z) for s, n, at, z in _blocks(start, size))])
+        h = substring_hashes(b, start, start + size)
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
@@ -201,15 +203,6 @@ def _merge(length: int):
     return f
 
 
-def _blocks(start: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive strings in blocks of about ``most`` bytes: first byte, bytes, starts, sizes."""
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(start, start[i] + most)))
-        yield int(start[i]), int(start[j - 1] + size[j - 1] - start[i]), start[i:j], size[i:j]
-        i = j
-
-
 def _cut(length: int, bits: int, drop: int, bytes_too: bool):
     def f(ids: list[int], texts: list[bytes], answers: list[tuple], shard: int) -> pa.Table:
         known, hot = merged(a[0] for a in answers if a[0] is not None), merged(a[1] for a in answers if a[1] is not None)

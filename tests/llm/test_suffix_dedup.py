@@ -45,17 +45,41 @@ def texts():
         body = prose(rng.randint(1, 80))
         cut = rng.randint(0, len(body))
         out.append(body[:cut] + rng.choice([passage, passage[: rng.randint(1, len(passage))], passage[rng.randint(0, 60) :], out[rng.randrange(4, len(out))], ""]) + body[cut:])
+    for length in (1024, 2048):  # what sums of powers take for one, whatever the base
+        bits = [bin(i).count("1") % 2 for i in range(length)]
+        out += ["".join("ab"[x ^ y] for x in bits) for y in (0, 1)]
     out += [out[20], out[30], out[20], prose(4000) + passage + out[25]]
     return out
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(100_000, 5 << 20), (100_000, 1500), (1, 1500)])
+@pytest.mark.parametrize(("hot", "shard"), [(100_000, 5 << 20), (100_000, 1 << 10), (1, 1 << 10)])
 def test_matches_brute_force(make_docs, texts, monkeypatch, hot, shard):
     monkeypatch.setattr(D, "HOT", hot)
-    monkeypatch.setattr(X, "SHARD_BYTES", shard)
+    monkeypatch.setattr(X, "shard_bytes", lambda total: shard)
     assert result(D.dedup(make_docs(texts).selectExpr("*", "1 as shard", "2 as kept"))) == brute(list(enumerate(texts)), 50)
 
 
+def test_hashes_of_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    b = rng.integers(97, 99, 4000, dtype=np.uint8)
+    start = np.sort(rng.integers(0, 3900, 500))
+    end = start + rng.integers(1, 100, 500)
+    whole = D.substring_hashes(b, start, end)
+    monkeypatch.setattr(D, "BLOCK", 64)
+    assert (D.substring_hashes(b, start, end) == whole).all()
+    parts = [b[i:j].tobytes() for i, j in zip(start, end, strict=True)]
+    assert len({(p, h) for p, h in zip(parts, whole.tolist(), strict=True)}) == len(set(parts)) == len(set(whole.tolist()))
+    for length in (1024, 2048, 8192):
+        one = np.array([bin(i).count("1") % 2 for i in range(length)], np.uint8)
+        both, zero = np.concatenate([one, 1 - one]), np.array([0, length])
+        assert len(set(D.substring_hashes(both, zero, zero + length).tolist())) == 2
+
+
+def test_rows_between_shards_and_buckets_grow_with_the_input():
+    pairs = lambda total: (total / X.shard_bytes(total)) ** 2
+    assert 4 < pairs(5 << 30) / pairs(1 << 30) < 6 and 55 < pairs(60 << 30) / pairs(1 << 30) < 65
+
+
 def test_kept_bytes_and_empty(make_docs):
     docs = make_docs(["p" * 60 + "1", "a" + "p" * 55 + "b", "q"])
     assert {r.doc_id: bytes(r.kept) for r in D.dedup(docs).collect()} == {0: b"p" * 60 + b"1", 1: b"ab", 2: b"q"}
