@@ -12,12 +12,18 @@ from ..model import EVENT_TYPES, KEY_BYTES, LEDGERS_A_CHUNK, LEDGERS_A_SEGMENT
 from .codec import Event, contract_name, decode_blob, encode_blob
 
 
+def _whole(n: Column, by: int) -> Column:
+    """``floor(n / by)`` in whole numbers, which a double has only up to 2 ** 53."""
+    n = n.cast("long")
+    return F.call_function("div", n - F.pmod(n, F.lit(by)), F.lit(by).cast("long"))
+
+
 def segment(ledger: Column) -> Column:
-    return F.floor(ledger / F.lit(LEDGERS_A_SEGMENT)).cast("long")
+    return _whole(ledger, LEDGERS_A_SEGMENT)
 
 
 def chunk(ledger: Column) -> Column:
-    return F.floor((ledger - 2) / F.lit(LEDGERS_A_CHUNK)).cast("long")
+    return _whole(ledger - 2, LEDGERS_A_CHUNK)
 
 
 def key32(value: Column) -> Column:

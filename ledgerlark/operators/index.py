@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import padded
 from ..functions.columns import key32
-from ..model import COUNT_TYPES, INDEX_PREFIXES, LEDGER_INDEX, VALUE_COUNTS
+from ..model import COUNT_TYPES, INDEX_PREFIXES, KEY_BYTES, LEDGER_INDEX, VALUE_COUNTS
 from .predicates import Filter, in_ledgers
 
 VALUES = {"contract": "contract_id", "topic0": "topic0", "topic1": "topic1", "topic2": "topic2", "topic3": "topic3"}
@@ -34,16 +34,23 @@ def build_index(events: DataFrame, names: Iterable[str] | None = None) -> DataFr
     return rows.select(F.col("code").alias("prefix"), key32(F.col("value")).alias("key32"), "segment_id", "ledger_sequence").distinct().select(*LEDGER_INDEX.names)
 
 
-def build_counts(events: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """How many events have each contract and each topic value by position; values are whole here."""
-    rows = _values(events, COUNT_TYPES, names).select(F.col("code").alias("type"), "value")
-    return rows.groupBy("type", "value").agg(F.count(F.lit(1)).alias("count")).select(*VALUE_COUNTS.names)
+def build_counts(events: DataFrame, names: Iterable[str] | None = None, *by: str) -> DataFrame:
+    """How many events have each contract and each topic value by position, of all or ``by`` columns; values are whole here."""
+    rows = _values(events, COUNT_TYPES, names, *by).select(F.col("code").alias("type"), "value", *by)
+    return rows.groupBy("type", "value", *by).agg(F.count(F.lit(1)).alias("count")).select(*VALUE_COUNTS.names, *by)
+
+
+def term(name: str, value: bytes) -> Column:
+    """The rows of the index that a term of a filter asks for: a contract of fewer than 32 bytes is a prefix, as in the filter."""
+    code = F.col("prefix") == INDEX_PREFIXES[name]
+    if name == "contract" and len(value) < KEY_BYTES:
+        return code & (F.substring("key32", 1, len(value)) == F.lit(value))
+    return code & (F.col("key32") == F.lit(padded(value)))
 
 
 def ledgers_with(index: DataFrame, name: str, value: bytes, lo: int, hi: int) -> DataFrame:
     """Ledgers of a range that the index has for one value."""
-    hit = (F.col("prefix") == INDEX_PREFIXES[name]) & (F.col("key32") == F.lit(padded(value)))
-    return index.where(in_ledgers(lo, hi) & hit).select("segment_id", "ledger_sequence")
+    return index.where(in_ledgers(lo, hi) & term(name, value)).select("segment_id", "ledger_sequence").distinct()
 
 
 def matching_ledgers(index: DataFrame, query: Filter, lo: int, hi: int) -> DataFrame:
@@ -54,10 +61,9 @@ def matching_ledgers(index: DataFrame, query: Filter, lo: int, hi: int) -> DataF
     terms = query.terms()
     if not terms:
         return index.where(F.lit(False)).select("segment_id", "ledger_sequence")
-    hit = reduce(lambda a, b: a | b, [(F.col("prefix") == INDEX_PREFIXES[n]) & (F.col("key32") == F.lit(padded(v))) for n, v in terms.items()])
-    rows = index.where(in_ledgers(lo, hi) & hit)
-    # rows are distinct, so counting them counts terms
-    return rows.groupBy("segment_id", "ledger_sequence").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("segment_id", "ledger_sequence")
+    rows = index.where(in_ledgers(lo, hi) & reduce(lambda a, b: a | b, [term(n, v) for n, v in terms.items()]))
+    # each term has rows of its own kind, of which a prefix may have several in a ledger
+    return rows.groupBy("segment_id", "ledger_sequence").agg(F.size(F.collect_set("prefix")).alias("n")).where(F.col("n") == len(terms)).select("segment_id", "ledger_sequence")
 
 
 def merge(*parts: DataFrame) -> DataFrame:

@@ -1,28 +1,45 @@
-"""The event store: Parquet tables below one folder.
-
-``events`` is partitioned by segment and sorted by key within its files; ``ledger_index`` is
-partitioned alike. An upsert rewrites only the segments that it touches. Index and counts are
-derived from the stored rows, so storing the same ledgers again changes nothing.
+"""The event store: Parquet tables below one folder, and a manifest that says which files count.
+
+Tables ``events``, ``ledger_index`` and ``value_counts`` have a folder for each version and, below it, one
+for each segment of a million ledgers. Nothing is ever overwritten: a write makes a new version,
+and then a new manifest, a small file whose number is one higher, names the versions of each
+segment. Readers take the manifest with the highest number, so they see the tables as they were
+before or after a write, and a write that fails changes nothing.
+
+A segment may have several versions, each an upsert: of rows with one key the one written last
+counts, and is chosen when the segment is read. Compaction makes them one, and its index and counts
+exact; until then the index may name ledgers of rows that were replaced, which a query's own
+filter leaves out, and counts of such segments are made from the events.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.formats import share
-from ..model import EVENTS, KEY, LEDGER_INDEX
+from ..model import EVENTS, KEY, LEDGER_INDEX, VALUE_COUNTS
 from ..plans.query import EventQuery
 from . import stats
-from .index import build_counts, build_index
+from .index import build_counts, build_index, merge_counts
 from .predicates import without_topic0
 
-TABLES = ("events", "ledger_index", "value_counts")
+INDEX_ORDER = ("prefix", "key32", "ledger_sequence")
+#: The stored tables with their schemas; counts are kept by segment.
+SCHEMAS = {"events": EVENTS, "ledger_index": LEDGER_INDEX, "value_counts": T.StructType([*VALUE_COUNTS, T.StructField("segment_id", T.LongType(), False)])}
+ORDERS = {"events": tuple(KEY), "ledger_index": INDEX_ORDER, "value_counts": ("type", "value")}
+TABLES = tuple(SCHEMAS)
+MANIFESTS = "manifests"
+#: As a watermark: the last ledger of the events that are stored.
+LAST = -1
 
 
 @dataclass
@@ -31,6 +48,13 @@ class TableSize:
     bytes: int = 0
 
 
+def last_written(events: DataFrame) -> DataFrame:
+    """Of the rows of one key, the stage left aside, the one with the largest write_seq."""
+    rest = [c for c in EVENTS.names if c not in ("segment_id", *KEY)]
+    kept = events.groupBy("segment_id", *KEY).agg(F.max_by(F.struct(*rest), "write_seq").alias("e"))
+    return kept.select("segment_id", *KEY, "e.*").select(*EVENTS.names)
+
+
 class EventStore:
     def __init__(self, spark: SparkSession, path: str, compression: str = "zstd", indexes: Iterable[str] | None = None) -> None:
         self.spark, self.path, self.compression = spark, path.rstrip("/"), compression
@@ -42,15 +66,46 @@ class EventStore:
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _fs(self):
-        return self._path("events").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _text(self, name: str) -> str:
+        stream = self._fs().open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    # the manifest: for each segment its versions, oldest first, and which tables they have
+
+    def _manifest(self) -> tuple[int, dict]:
+        fs, folder = self._fs(), self._path(MANIFESTS)
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        numbers = [int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()]
+        if not numbers:
+            return 0, {"segments": {}, "watermark": 0}
+        return max(numbers), json.loads(self._text(f"{MANIFESTS}/{max(numbers):012d}.json"))
+
+    def _publish(self, number: int, manifest: dict) -> None:
+        """Makes ``manifest`` count; fails if another writer published since ``number`` was read."""
+        part, whole = f"{MANIFESTS}/.{uuid.uuid4().hex}", self._path(f"{MANIFESTS}/{number + 1:012d}.json")
+        out = self._fs().create(self._path(part), False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if self._fs().exists(whole) or not self._fs().rename(self._path(part), whole):
+            raise RuntimeError("another writer was faster; try again")
 
     def exists(self, name: str = "events") -> bool:
-        return self._fs().exists(self._path(name))
+        return any(name in v["tables"] for versions in self._manifest()[1]["segments"].values() for v in versions)
+
+    def _paths(self, name: str, manifest: dict, single: bool | None = None) -> list[str]:
+        """Folders of a table that count; with ``single``, of segments that have one version (or not)."""
+        chosen = [(s, v) for s, versions in manifest["segments"].items() if single is None or single == (len(versions) == 1) for v in versions if name in v["tables"]]
+        return [f"{self.path}/{name}/version={v['version']}/segment_id={s}" for s, v in chosen]
 
     def size(self, name: str) -> TableSize:
         out, fs = TableSize(), self._fs()
-        if self.exists(name):
-            files = fs.listFiles(self._path(name), True)
+        for path in self._paths(name, self._manifest()[1]):
+            files = fs.listFiles(self._path(path.removeprefix(f"{self.path}/")), True)
             while files.hasNext():
                 f = files.next()
                 if f.getPath().getName().endswith(".parquet"):
@@ -59,106 +114,148 @@ class EventStore:
 
     # reading
 
-    def _read(self, name: str, schema) -> DataFrame:
-        if not self.exists(name):
+    def _read(self, name: str, paths: list[str]) -> DataFrame:
+        schema = SCHEMAS[name]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*schema.names)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths).select(*schema.names)
+
+    def _events(self, manifest: dict) -> DataFrame:
+        once, more = (self._paths("events", manifest, single) for single in (True, False))
+        parts = [self._read("events", once)] if once or not more else []
+        return reduce(DataFrame.unionByName, [*parts, *([last_written(self._read("events", more))] if more else [])])
 
     def events(self) -> DataFrame:
-        return self._read("events", EVENTS)
+        return self._events(self._manifest()[1])
 
     def index(self) -> DataFrame:
-        return self._read("ledger_index", LEDGER_INDEX)
+        manifest = self._manifest()[1]
+        rows = self._read("ledger_index", self._paths("ledger_index", manifest))
+        return rows.distinct() if self._paths("ledger_index", manifest, False) else rows
 
     def counts(self) -> DataFrame:
-        """Counts of values, always those of the stored events."""
-        return build_counts(self.events(), self.indexes)
+        """Counts of values: the stored ones, and for segments of several versions those of their events."""
+        manifest = self._manifest()[1]
+        more = self._paths("events", manifest, False)
+        parts = [self._read("value_counts", self._paths("value_counts", manifest, True)).drop("segment_id")]
+        parts += [build_counts(last_written(self._read("events", more)), self.indexes)] if more else []
+        return merge_counts(*parts)
 
     def query(self, indexed: bool = True) -> EventQuery:
         return EventQuery(self.events(), self.index() if indexed and self.exists("ledger_index") else None)
 
     # writing
 
-    def _write(self, df: DataFrame, name: str, order: Sequence[str], bloom: Sequence[str] = ()) -> None:
+    def _write(self, df: DataFrame, name: str, version: str, parts: int | None = None, bloom: Sequence[str] = ()) -> None:
         # ranges, so that a file holds neighbours and its statistics exclude it from most lookups
-        writer = df.repartitionByRange("segment_id", *order[:2]).sortWithinPartitions("segment_id", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", self.compression)
+        keys = [F.col(c) for c in ("segment_id", *ORDERS[name])]
+        ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+        writer = ranged.sortWithinPartitions(*keys).write.option("compression", self.compression)
         for c in bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.partitionBy("segment_id").parquet(f"{self.path}/{name}")
+        writer.partitionBy("segment_id").parquet(f"{self.path}/{name}/version={version}")
+
+    def _counted(self, events: DataFrame) -> DataFrame:
+        """The counts of each segment's values."""
+        return build_counts(events, self.indexes, "segment_id")
+
+    def _new_version(self, events: DataFrame, parts: int | None = None) -> str:
+        """Writes events, and index and counts that follow the events as written."""
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        self._write(events, "events", version, parts, ("contract_id",))
+        written = self.spark.read.schema(EVENTS).parquet(f"{self.path}/events/version={version}")
+        self._write(build_index(written, self.indexes), "ledger_index", version, parts)
+        self._write(self._counted(written), "value_counts", version, parts)
+        return version
 
     def _staged(self, df: DataFrame) -> tuple[DataFrame, str]:
-        """``df`` written beside the tables and read again, so that what it was made of can be overwritten."""
-        name = f"_staged/{uuid.uuid4().hex}"
+        """``df`` written beside the tables and read again, so that it is made once."""
+        name = f"staged/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}"), name
 
-    def upsert(self, events: DataFrame, exclude_topic0: Sequence[bytes] = ()) -> dict[str, int]:
-        """Stores events; of those with one key the one written last stays. Returns counts of what came, what was kept out and what was stored."""
-        new = events.select(*EVENTS.names)
+    def upsert(self, events: DataFrame, exclude_topic0: Sequence[bytes] = (), watermark: int | None = None) -> dict[str, float]:
+        """Stores events; of those with one key the one written last stays. Returns counts of what came, what was kept out and what was stored.
+
+        ``events`` is computed once. The segments it touches get one more version; others stay as
+        they are. A ``watermark`` becomes the store's with the same manifest.
+        """
+        began = time.time()
+        staged, path = self._staged(events.select(*EVENTS.names))
+        read = time.time() - began
         stage = lambda name: F.count_if(F.coalesce(F.col("event_stage") == name, F.lit(False)))
-        counted = new.agg(
+        counted = staged.agg(
             F.count(F.lit(1)).alias("extracted"), F.count_if(~without_topic0(exclude_topic0)).alias("excluded"), stage("transaction").alias("transaction_events"), stage("operation").alias("operation_events"),
-            F.count_distinct("ledger_sequence", "transaction_index").alias("transactions"),
+            F.count_distinct("ledger_sequence", "transaction_index").alias("transactions"), F.max("ledger_sequence").alias("last"),
         )
-        new, staged = self._staged(new.where(without_topic0(exclude_topic0)))
         done = counted.first().asDict()
+        last = done.pop("last")
+        new = staged.where(without_topic0(exclude_topic0))
         touched = [r[0] for r in new.select("segment_id").distinct().collect()]  # one number a million ledgers
-        if touched:
-            old = self.events().where(F.col("segment_id").isin(touched))
-            both = old.unionByName(new)
-            # rows of one key, stage included, meet; the struct with the largest write_seq stays
-            rest = [c for c in EVENTS.names if c not in ("segment_id", *KEY)]
-            kept = both.groupBy("segment_id", *KEY).agg(F.max_by(F.struct(*rest), "write_seq").alias("e")).select("segment_id", *KEY, "e.*").select(*EVENTS.names)
-            kept, second = self._staged(kept)
-            self._write(kept, "events", KEY, ("contract_id",))
-            # the index follows the events, segment by segment
-            self._write(build_index(kept, self.indexes), "ledger_index", ("prefix", "key32", "ledger_sequence"))
-            self._fs().delete(self._path(second), True)
-        self._fs().delete(self._path(staged), True)
-        return done | {"stored": done["extracted"] - done["excluded"]}
+        version = self._new_version(last_written(new)) if touched else None
+        self._fs().delete(self._path(path), True)
+        number, manifest = self._manifest()
+        for s in touched:
+            manifest["segments"].setdefault(str(s), []).append({"version": version, "tables": list(TABLES)})
+        if watermark is None:
+            watermark = manifest["watermark"]
+        elif watermark == LAST:
+            watermark = max(manifest["watermark"], last or 0)
+        manifest["watermark"] = watermark
+        self._publish(number, manifest)
+        return done | {"stored": done["extracted"] - done["excluded"], "last_ledger": last, "read_seconds": read}
 
     def rebuild(self) -> None:
-        """Makes the index and the table of counts anew from the events."""
-        self._write(build_index(self.events(), self.indexes), "ledger_index", ("prefix", "key32", "ledger_sequence"))
-        self.counts().orderBy("type", "value").write.mode("overwrite").option("compression", self.compression).parquet(f"{self.path}/value_counts")
+        """Makes index and counts anew from the events: one version of every segment."""
+        self.compact()
 
     # watermark
 
     def set_watermark(self, ledger: int) -> None:
-        text = json.dumps({"last_processed_ledger": ledger})
-        out = self._fs().create(self._path("watermark.json"), True)
-        out.write(bytearray(text.encode()))
-        out.close()
+        number, manifest = self._manifest()
+        self._publish(number, manifest | {"watermark": ledger})
 
     def watermark(self) -> int:
         """The last ledger that was processed; 0 if none was."""
-        if not self.exists("watermark.json"):
-            return 0
-        # a text file of one line; listed by its own name, as Spark skips no file without underscore or dot
-        return json.loads(self.spark.read.text(f"{self.path}/watermark.json").first()[0])["last_processed_ledger"]
+        return self._manifest()[1]["watermark"]
 
     # maintenance
 
-    def compact(self, target_rows: int = 5_000_000) -> list[dict]:
-        """Rewrites both tables with fewer, sorted files; a row for each with bytes before and after."""
+    def compact(self, target_rows: int = 5_000_000, clean: bool = True) -> list[dict]:
+        """Makes every segment one version of fewer, sorted files; a row for each table with bytes before and after.
+
+        With ``clean``, files that no manifest names any more are deleted (readers that began before
+        may miss them).
+        """
+        number, manifest = self._manifest()
+        before = {t: self.size(t) for t in TABLES}
+        if manifest["segments"]:
+            events = self._events(manifest)
+            version = self._new_version(events, max(1, events.count() // target_rows))
+            whole = {s: [{"version": version, "tables": list(TABLES)}] for s in manifest["segments"]}
+            self._publish(number, manifest | {"segments": whole})
+            if clean:
+                self._clean(number + 1, version)
         report = []
-        for name, df, order in (("events", self.events(), KEY), ("ledger_index", self.index(), ["prefix", "key32", "ledger_sequence"])):
-            before = self.size(name)
-            if before.files:
-                staged, path = self._staged(df)
-                parts = max(1, staged.count() // target_rows)
-                ranged = staged.repartitionByRange(parts, "segment_id", *order).sortWithinPartitions("segment_id", *order)
-                ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", self.compression).partitionBy("segment_id").parquet(f"{self.path}/{name}")
-                self._fs().delete(self._path(path), True)
-            after = self.size(name)
-            saved = max(0, before.bytes - after.bytes)
-            report.append({"table": name, "files_before": before.files, "files_after": after.files, "bytes_before": before.bytes, "bytes_after": after.bytes, "saved": saved, "saved_percent": share(saved, before.bytes)})
+        for name in TABLES:
+            a, b = before[name], self.size(name)
+            saved = max(0, a.bytes - b.bytes)
+            report.append({"table": name, "files_before": a.files, "files_after": b.files, "bytes_before": a.bytes, "bytes_after": b.bytes, "saved": saved, "saved_percent": share(saved, a.bytes)})
         return report
 
+    def _clean(self, number: int, version: str) -> None:
+        """Deletes older manifests and versions than those given."""
+        fs = self._fs()
+        for folder, keep in ((MANIFESTS, f"{number:012d}.json"), *((t, f"version={version}") for t in TABLES)):
+            for f in fs.listStatus(self._path(folder)):
+                if f.getPath().getName() < keep:
+                    fs.delete(f.getPath(), True)
+
     def snapshot(self) -> list[dict]:
-        """Files, bytes and rows of each table."""
-        rows = {"events": self.events(), "ledger_index": self.index()}
-        return [{"table": t, "files": (s := self.size(t)).files, "bytes": s.bytes, "rows": rows[t].count() if t in rows else None} for t in TABLES]
+        """Files, bytes and rows of each table, and its segments and versions."""
+        rows = {"events": self.events(), "ledger_index": self.index(), "value_counts": self.counts()}
+        versions = self._manifest()[1]["segments"].values()
+        return [{"table": t, "files": (s := self.size(t)).files, "bytes": s.bytes, "rows": rows[t].count(), "segments": len(versions), "versions": sum(map(len, versions))} for t in TABLES]
 
     def stats(self) -> dict:
         out = stats.store_stats(self.events()).first().asDict()

@@ -6,19 +6,22 @@ first two common tables, ``ev`` and, where an index is meant, ``idx`` and ``vals
 
 from __future__ import annotations
 
+from base64 import b64encode
 from collections.abc import Callable
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import symbol
-from ..functions.columns import base64_text, key_bytes, type_name
-from ..model import EVENTS, KEY
+from ..functions.codec import contract_name, symbol
+from ..functions.columns import base64_text, blob, event_of_blob, key_bytes, type_name
+from ..model import KEY
 from ..operators import index as ix
 from ..operators import predicates as p
 from ..operators import stats
+from ..operators.store import LAST, EventStore, last_written
 from ..sources.canonical import contract_events
+from ..sources.scratch import scratch_folder
 from .query import EventQuery, Options, compare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +59,16 @@ def shown(events: DataFrame) -> DataFrame:
     return events.select(*KEY, F.hex("contract_id").alias("contract_hex"), F.hex("topic0").alias("topic0_hex"), F.hex("topic1").alias("topic1_hex"), F.col("event_type").cast("int").alias("event_type"))
 
 
+def _index_rows(index: DataFrame) -> DataFrame:
+    names = {v: k for k, v in ix.INDEX_PREFIXES.items()}
+    name = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("prefix").cast("int")]
+    return index.select(name.alias("index_type"), F.hex("key32").alias("key32"), "segment_id", "ledger_sequence")
+
+
+def _count_rows(counts: DataFrame) -> DataFrame:
+    return counts.select(F.col("type").cast("int").alias("type"), F.hex("value").alias("value_hex"), "count")
+
+
 def query(sql: str, plain: bool = False):
     """Registers a function of the events, by its name, with its SQL (the part behind the common tables)."""
 
@@ -139,9 +152,7 @@ def exclude_topic0(events):
 
 @query("SELECT name AS index_type, key32, segment_id, ledger_sequence FROM idx")
 def ledger_index(events):
-    names = {v: k for k, v in ix.INDEX_PREFIXES.items()}
-    name = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("prefix").cast("int")]
-    return ix.build_index(events).select(name.alias("index_type"), F.hex("key32").alias("key32"), "segment_id", "ledger_sequence")
+    return _index_rows(ix.build_index(events))
 
 
 @query(f"SELECT segment_id, ledger_sequence FROM idx WHERE name = 'contract' AND key32 = '{C}' AND ledger_sequence BETWEEN {LO} AND {HI}")
@@ -182,12 +193,18 @@ def query_metrics(events):
     return EventQuery(events, ix.build_index(events)).metrics(p.Filter(None, (TOPIC,)), LO, HI, 25).drop("data_bytes")
 
 
-@query(f"SELECT {COLUMNS}, write_seq FROM (SELECT * REPLACE (CASE WHEN ledger_sequence = {LEDGER} THEN 9 ELSE event_type END AS event_type, write_seq + CASE WHEN ledger_sequence = {LEDGER} THEN 1000000000 ELSE 0 END AS write_seq) FROM ev)")
+def _again(events: DataFrame) -> DataFrame:
+    """One ledger's events with other contents, written later."""
+    return events.where(F.col("ledger_sequence") == LEDGER).withColumns({"event_type": F.lit(9).cast("byte"), "write_seq": F.col("write_seq") + 1_000_000_000})
+
+
+REPLACED = f"SELECT {COLUMNS}, write_seq FROM (SELECT * REPLACE (CASE WHEN ledger_sequence = {LEDGER} THEN 9 ELSE event_type END AS event_type, write_seq + CASE WHEN ledger_sequence = {LEDGER} THEN 1000000000 ELSE 0 END AS write_seq) FROM ev)"
+
+
+@query(REPLACED)
 def upsert_last_write_wins(events):
     """Storing one ledger again with other contents replaces its events and leaves the others."""
-    again = events.where(F.col("ledger_sequence") == LEDGER).withColumns({"event_type": F.lit(9).cast("byte"), "write_seq": F.col("write_seq") + 1_000_000_000})
-    rest = [c for c in EVENTS.names if c not in ("segment_id", *KEY)]
-    kept = events.unionByName(again).groupBy("segment_id", *KEY).agg(F.max_by(F.struct(*rest), "write_seq").alias("e")).select("segment_id", *KEY, "e.*")
+    kept = last_written(events.unionByName(_again(events)))
     return kept.select(*KEY, F.hex("contract_id").alias("contract_hex"), F.hex("topic0").alias("topic0_hex"), F.hex("topic1").alias("topic1_hex"), F.col("event_type").cast("int").alias("event_type"), "write_seq")
 
 
@@ -220,7 +237,7 @@ def ledger_tx_stats(events):
 
 @query("SELECT CAST(CASE name WHEN 'contract' THEN 0 WHEN 'topic0' THEN 1 ELSE 2 END AS INT) AS type, v AS value_hex, count(*) AS count FROM vals GROUP BY name, v")
 def value_counts(events):
-    return ix.build_counts(events).select(F.col("type").cast("int").alias("type"), F.hex("value").alias("value_hex"), "count")
+    return _count_rows(ix.build_counts(events))
 
 
 @query("SELECT name AS index_type, count(*) AS unique_values, CAST(sum(n) AS BIGINT) AS total_count FROM (SELECT name, v, count(*) AS n FROM vals GROUP BY name, v) GROUP BY name")
@@ -313,3 +330,129 @@ def contract_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["contract_names"] = contract_names
+
+
+@query("SELECT name AS index_type, key32, segment_id, ledger_sequence FROM idx")
+def merged_index(events):
+    """Indexes of two overlapping halves, merged."""
+    ledgers = F.col("ledger_sequence")
+    return _index_rows(ix.merge(ix.build_index(events.where(ledgers <= HI)), ix.build_index(events.where(ledgers >= LO))))
+
+
+@query("SELECT CAST(CASE name WHEN 'contract' THEN 0 WHEN 'topic0' THEN 1 ELSE 2 END AS INT) AS type, v AS value_hex, count(*) AS count FROM vals GROUP BY name, v")
+def merged_counts(events):
+    """Counts of two halves, added up."""
+    return _count_rows(ix.merge_counts(ix.build_counts(events.where(F.col("ledger_sequence") <= HI)), ix.build_counts(events.where(F.col("ledger_sequence") > HI))))
+
+
+@query(rows())
+def event_blobs(events):
+    """Events as binary blobs, read again."""
+    read = events.select("*", event_of_blob(blob("contract_id", "topics", "event_type", "data")).alias("e"))
+    again = {"contract_id": F.col("e.contract_id"), "topic0": F.get("e.topics", F.lit(0)), "topic1": F.get("e.topics", F.lit(1)), "event_type": F.col("e.event_type")}
+    return shown(read.withColumns(again))
+
+
+# Queries of a written store: pruned reads, the stored index and counts, several versions and one.
+
+_stores: dict[tuple[str, str, str], EventStore] = {}
+
+
+def stored(spark: SparkSession, folder: str, kind: str) -> EventStore:
+    """The folder's events in a store, written once an application. ``versions``: two overlapping writes; ``compacted``: those made one; ``replaced``: one ledger written again."""
+    key = (spark.sparkContext.applicationId, folder, kind)
+    if key not in _stores:
+        events, store = contract_events(spark, folder), EventStore(spark, scratch_folder(spark, f"store-{kind}"))
+        store.upsert(events.where(F.col("ledger_sequence") <= HI), watermark=LAST)
+        store.upsert(events.where(F.col("ledger_sequence") >= LO), watermark=LAST)
+        if kind == "replaced":
+            store.upsert(_again(events))
+        if kind != "versions":
+            store.compact()
+        _stores[key] = store
+    return _stores[key]
+
+
+def store_query(kind: str, sql: str):
+    def add(f: Callable[[EventStore], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(stored(spark, folder, kind))
+        ORACLE_SQL[f.__name__] = EV + sql
+        return f
+
+    return add
+
+
+IN_RANGE = f"ledger_sequence BETWEEN {LO} AND {HI}"
+COUNTED = "SELECT CAST(CASE name WHEN 'contract' THEN 0 WHEN 'topic0' THEN 1 ELSE 2 END AS INT) AS type, v AS value_hex, count(*) AS count FROM vals GROUP BY name, v"
+
+
+@store_query("compacted", rows(IN_RANGE))
+def store_range_scan(store):
+    return shown(store.query().scan(LO, HI))
+
+
+@store_query("versions", rows(IN_RANGE, 100))
+def store_range_limit_of_versions(store):
+    return shown(store.query().scan(LO, HI, 100))
+
+
+@store_query("compacted", rows(f"{HIT} AND {IN_RANGE}"))
+def store_contract_and_topic0(store):
+    """The filter as a command gets it: a contract's name and base64."""
+    return shown(store.query().run(p.Filter.parse(contract_name(CONTRACT), [b64encode(TOPIC).decode()]), LO, HI))
+
+
+@store_query("compacted", rows(f"substr(contract_hex, 1, 2) = '{C[:2]}' AND {IN_RANGE}"))
+def store_contract_prefix(store):
+    """A part of a contract through the index."""
+    return shown(store.query().run(p.Filter(CONTRACT[:1]), LO, HI))
+
+
+@store_query("compacted", rows(f"substr(contract_hex, 1, 2) = '{C[:2]}' AND topic0_hex = '{T0}' AND {IN_RANGE}", 5))
+def store_prefix_and_topic0_limit(store):
+    return shown(store.query().run(p.Filter(CONTRACT[:1], (TOPIC,)), LO, HI, Options(limit=5)))
+
+
+@store_query("versions", rows(f"topic0_hex = '{T0}' AND ledger_sequence = {LEDGER}"))
+def store_single_ledger_filter(store):
+    """One ledger with a filter that is pushed down."""
+    return shown(store.query().run(p.Filter(None, (TOPIC,)), LEDGER, LEDGER, Options(limit=1000)))
+
+
+@store_query("compacted", "SELECT name AS index_type, key32, segment_id, ledger_sequence FROM idx")
+def store_index(store):
+    return _index_rows(store.index())
+
+
+@store_query("compacted", f"SELECT count(*) AS matching_ledgers FROM {BOTH}")
+def store_matching_ledgers(store):
+    return store.query().run(p.Filter(CONTRACT, (TOPIC,)), LO, HI, Options(count_only=True))
+
+
+@store_query("compacted", METRICS.format(t=T0, lo=LO, hi=HI, n=25))
+def store_query_metrics(store):
+    return store.query().metrics(p.Filter(None, (TOPIC,)), LO, HI, 25).drop("data_bytes")
+
+
+@store_query("compacted", COUNTED)
+def store_value_counts(store):
+    """The table of counts as it is stored."""
+    return _count_rows(store.counts())
+
+
+@store_query("versions", COUNTED)
+def store_value_counts_of_versions(store):
+    return _count_rows(store.counts())
+
+
+@store_query("replaced", REPLACED)
+def store_upsert(store):
+    """A ledger stored again with other contents."""
+    return store.events().select(*KEY, F.hex("contract_id").alias("contract_hex"), F.hex("topic0").alias("topic0_hex"), F.hex("topic1").alias("topic1_hex"), F.col("event_type").cast("int").alias("event_type"), "write_seq")
+
+
+@store_query("compacted", "SELECT count(*) AS events, max(ledger_sequence) AS last_processed, CAST(1 AS BIGINT) AS versions, (SELECT count(DISTINCT segment_id) FROM ev) AS segments FROM ev")
+def store_snapshot(store):
+    """What the store says of itself after compaction."""
+    s = next(t for t in store.snapshot() if t["table"] == "events")
+    return store.spark.createDataFrame([(s["rows"], store.watermark(), s["versions"] // s["segments"], s["segments"])], "events long, last_processed long, versions long, segments long")

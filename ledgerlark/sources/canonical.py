@@ -18,7 +18,8 @@ def xdr_text(kind: str, text: Column) -> Column:
 
 def contract_events(spark: SparkSession, folder: str) -> DataFrame:
     e = spark.read.parquet(f"{folder}/events.parquet")
-    ledger = (2 + F.floor(F.col("event_id") / 10)).cast("long")
+    # whole-number division: a double would be wrong above 2 ** 53
+    ledger = F.expr("2 + event_id div 10")
     out = e.select(
         segment(ledger).alias("segment_id"),
         ledger.alias("ledger_sequence"),

@@ -1,7 +1,8 @@
 """Incremental ingest: new event rows, as files arrive, into a store; the checkpoint is the watermark.
 
-Each micro-batch is upserted, and storing a batch again changes nothing, so a batch that a failure
-repeats is stored once.
+Each micro-batch adds a version to the segments it touches and rewrites none, and storing a batch again
+changes nothing, so a batch that a failure repeats counts once. ``EventStore.compact`` makes the
+versions one, whenever that suits.
 """
 
 from __future__ import annotations
@@ -9,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import EVENTS
 from ..operators.extract import extract
-from ..operators.store import EventStore
+from ..operators.store import LAST, EventStore
 
 
 def ledgers_arriving(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
@@ -32,10 +32,8 @@ def store_stream(stream: DataFrame, store: EventStore, checkpoint: str, exclude_
 
     def batch(df: DataFrame, _: int) -> None:
         events = extract(df, decoder) if decoder else df
-        store.upsert(events, exclude_topic0)
-        last = store.events().agg(F.max("ledger_sequence")).first()[0]
-        if last is not None:
-            store.set_watermark(max(last, store.watermark()))
+        # a batch adds a version to its segments and moves the watermark by the same manifest
+        store.upsert(events, exclude_topic0, LAST)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

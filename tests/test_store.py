@@ -39,17 +39,41 @@ def test_upsert_is_idempotent_and_the_last_write_wins(spark, tmp_path):
     assert store.events().count() == 0 and store.watermark() == 0 and store.stats()["min_ledger"] is None
     # the second half lies in another segment, which the later upsert leaves alone
     far = events.withColumns({"ledger_sequence": F.col("ledger_sequence") + 3_000_000, "segment_id": F.col("segment_id") + 3})
-    assert store.upsert(events.unionByName(far)) == {"extracted": 2000, "excluded": 0, "stored": 2000, "transaction_events": 0, "operation_events": 2000, "transactions": 2000}
-    before, untouched = rows(store.events()), sorted(glob.glob(f"{store.path}/events/segment_id=3/*.parquet"))
+    done = store.upsert(events.unionByName(far))
+    assert done["last_ledger"] == 3_000_101 and done["read_seconds"] > 0
+    assert {k: done[k] for k in ("extracted", "excluded", "stored", "transaction_events", "operation_events", "transactions")} == {"extracted": 2000, "excluded": 0, "stored": 2000, "transaction_events": 0, "operation_events": 2000, "transactions": 2000}
+    before, untouched = rows(store.events()), sorted(glob.glob(f"{store.path}/events/version=*/segment_id=3/*.parquet"))
+    old = store.events()
     store.upsert(events)
     assert rows(store.events()) == before and store.counts().agg(F.sum("count")).first()[0] == 6000
     store.upsert(events.where("ledger_sequence = 5").withColumns({"event_type": F.lit(9).cast("byte"), "write_seq": F.col("write_seq") + 10**9}))
     assert store.events().where("event_type = 9").count() == 10 and store.events().count() == 2000
-    assert sorted(glob.glob(f"{store.path}/events/segment_id=3/*.parquet")) == untouched
+    assert sorted(glob.glob(f"{store.path}/events/version=*/segment_id=3/*.parquet")) == untouched
+    assert rows(old) == before and old.where("event_type = 9").count() == 0  # as it was when it was opened
     assert store.index().exceptAll(ix.build_index(store.events())).count() == 0
+    same = lambda: store.counts().exceptAll(ix.build_counts(store.events())).count() == 0 and store.counts().count() == ix.build_counts(store.events()).count()
+    assert same()
+    now = rows(store.events())
     store.rebuild()
-    assert spark.read.parquet(f"{store.path}/value_counts").exceptAll(store.counts()).count() == 0
-    assert not glob.glob(f"{store.path}/_staged/*")
+    assert rows(store.events()) == now and same() and store.snapshot()[0]["versions"] == 2
+    assert not glob.glob(f"{store.path}/staged/*")
+
+
+def test_a_write_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    store, events = EventStore(spark, str(tmp_path / "s")), contract_events(spark, SF)
+    store.upsert(events, watermark=101)
+    before = rows(store.events())
+    more = events.withColumn("ledger_sequence", F.col("ledger_sequence") + 500)
+    monkeypatch.setattr(store, "_counted", lambda events: 1 / 0)  # events and index of the new version are there by then
+    with pytest.raises(ZeroDivisionError):
+        store.upsert(more, watermark=601)
+    monkeypatch.undo()
+    assert rows(store.events()) == before and store.watermark() == 101 and store.index().exceptAll(ix.build_index(events)).count() == 0
+    number, manifest = store._manifest()
+    store.upsert(more, watermark=601)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(number, manifest)
+    assert store.events().count() == 2000 and store.watermark() == 601
 
 
 def test_exclusion_keeps_events_without_topics(spark, tmp_path):
@@ -64,12 +88,14 @@ def test_exclusion_keeps_events_without_topics(spark, tmp_path):
 def test_compaction(spark, tmp_path):
     store, events = EventStore(spark, str(tmp_path / "s")), contract_events(spark, SF)
     store.upsert(events)
-    events_again = store.events().repartition(7)
-    events_again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment_id").parquet(str(tmp_path / "t" / "events"))
     many = EventStore(spark, str(tmp_path / "t"))
+    for i in range(7):
+        many.upsert(events.where(f"transaction_index % 7 = {i}"))
+    assert rows(many.events()) == rows(store.events()) and many.snapshot()[0]["versions"] == 7
     report = {r["table"]: r for r in many.compact()}
-    assert report["events"]["files_before"] == 7 and report["events"]["files_after"] == 1 and report["events"]["saved"] >= 0
-    assert rows(many.events()) == rows(store.events())
+    assert report["events"]["files_before"] >= 7 and report["events"]["files_after"] == 1 and report["events"]["saved"] >= 0
+    assert rows(many.events()) == rows(store.events()) and many.snapshot()[0]["versions"] == 1
+    assert len(glob.glob(f"{many.path}/events/version=*")) == len(glob.glob(f"{many.path}/manifests/0*.json")) == 1
     got = many.events().coalesce(1).select(*KEY).collect()
     assert got == sorted(got)
 
@@ -146,5 +172,17 @@ def test_commands(spark, tmp_path, folder, capsys, monkeypatch):
     assert run("ingest")[0] == 1
 
 
+@pytest.mark.parametrize("cut", [1, 2, 31, 32, 40])
+def test_prefixes_by_index_and_by_scan(spark, tmp_path, cut):
+    store, events = EventStore(spark, str(tmp_path / "s")), contract_events(spark, SF)
+    store.upsert(events)
+    one = bytes(events.first().contract_id)
+    wanted = Filter((one + bytes(8))[:cut], (c.symbol("purchase"),))
+    scanned = rows(store.query(indexed=False).run(wanted, 2, 90))
+    assert rows(store.query().run(wanted, 2, 90)) == scanned
+    only = Filter(wanted.contract)
+    assert rows(store.query().run(only, 2, 90)) == rows(store.query(indexed=False).run(only, 2, 90)) != []
+
+
 def test_schema(spark, tmp_path):
     assert EventStore(spark, str(tmp_path)).events().schema == EVENTS and Filter().is_empty
