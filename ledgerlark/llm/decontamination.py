@@ -1,8 +1,8 @@
 """Benchmark decontamination: a hash set of normalised test n-grams against all token windows.
 
-The set is broadcast while the benchmark's texts stay under ``broadcast_bytes``; a larger
-benchmark is cut into blocks of that size, and each block is a pass over the documents that adds
-to what the passes before it found. Hash hits are verified word by word.
+The set is broadcast while the benchmark's texts stay under ``broadcast_bytes``. The windows of a larger
+one are a table: a bitmap of fixed size tells which document windows may be in it, and those are
+joined with it by hash and words. Hits are verified word by word either way.
 
 Words: A-Z are lower-cased; a word is a run of characters other than U+0000-002F, 003A-0060,
 007B-007F. A window is ``n`` consecutive words of an item; an item of fewer, but not none, is one
@@ -16,7 +16,7 @@ and columns named like the new ones are replaced.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import quoted, texts_of, with_columns_from
+from .arrow import quoted, slices, texts_of, with_columns_from
+from .exchange import table_of_rows
 from .shared import written
 from .words import ALNUM, WordHasher, grouped, ngrams
 
@@ -91,85 +92,143 @@ class Windows:
     def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int, int, int]], set[str]]]:
         """Per text: its words, the maximal runs of hit words (first, after last, start and end byte), the items."""
         out = []
-        for i, j in grouped(texts):
-            clean, starts, ends = HASHER.split(b"\n".join(texts[i:j]))
-            lengths = np.fromiter(map(len, texts[i:j]), np.int64, j - i)
-            offsets = np.concatenate(([0], np.cumsum(lengths + 1)))
-            first = np.searchsorted(starts, offsets)
-            doc = np.repeat(np.arange(j - i), np.diff(first))
-            hashes = HASHER.hashes(clean, starts, ends)
-            delta, items = np.zeros(len(starts) + 1, np.int64), defaultdict(set)
+        for words in _words_of(texts):
+            delta, items = np.zeros(len(words.starts) + 1, np.int64), defaultdict(set)
             for size, known in self.sorted.items():
-                h = ngrams(hashes, size)
-                at = np.flatnonzero(known.maybe[h >> np.uint64(64 - FILTER_BITS)])
-                at = at[doc[at] == doc[at + size - 1]]
+                h, at = words.windows(size, known.maybe)
                 at = at[known.hash[np.minimum(np.searchsorted(known.hash, h[at]), len(known.hash) - 1)] == h[at]]
                 for k in at.tolist():
-                    window = b" ".join(clean[starts[m] : ends[m]] for m in range(k, k + size))
-                    if who := self.who(size, h[k], window):
-                        items[int(doc[k])] |= who
+                    if who := self.who(size, h[k], words.text(k, size)):
+                        items[int(words.doc[k])] |= who
                         delta[k] += 1
                         delta[k + size] -= 1
             hit = np.cumsum(delta[:-1]) > 0
-            for d in range(j - i):
-                a, b = int(first[d]), int(first[d + 1])
-                runs = []
-                if d in items:
-                    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit[a:b], [False])).view(np.int8))).tolist()
-                    runs = [(x, y, int(starts[a + x] - offsets[d]), int(ends[a + y - 1] - offsets[d])) for x, y in zip(edge[::2], edge[1::2], strict=True)]
-                out.append((b - a, runs, items.get(d, set())))
+            for d in range(len(words.first) - 1):
+                out.append((int(words.first[d + 1] - words.first[d]), words.runs(d, hit) if d in items else [], items.get(d, set())))
         return out
 
 
-def merged(a: list[tuple[int, int, int, int]], b: list[tuple[int, int, int, int]]) -> list[list[int]]:
-    """The maximal runs of what either list covers."""
-    out: list[list[int]] = []
-    for x, y, s, e in sorted([*a, *b]):
-        if out and x <= out[-1][1]:
-            if y > out[-1][1]:
-                out[-1][1], out[-1][3] = y, e
-        else:
-            out.append([x, y, s, e])
-    return out
+class _Words:
+    """The words of some texts and where each text's begin."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.clean, self.starts, self.ends = HASHER.split(b"\n".join(texts))
+        self.offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
+        self.first = np.searchsorted(self.starts, self.offsets)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.hashes = HASHER.hashes(self.clean, self.starts, self.ends)
+
+    def windows(self, size: int, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each window, and those within one text that ``maybe`` marks by their first bits."""
+        h = ngrams(self.hashes, size)
+        at = np.flatnonzero(maybe[h >> np.uint64(64 - (len(maybe) - 1).bit_length())])
+        return h, at[self.doc[at] == self.doc[at + size - 1]]
+
+    def text(self, k: int, size: int) -> bytes:
+        return b" ".join(self.clean[self.starts[m] : self.ends[m]] for m in range(k, k + size))
+
+    def runs(self, d: int, hit: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The maximal runs of the hit words of a text."""
+        a, b = int(self.first[d]), int(self.first[d + 1])
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], hit[a:b], [False])).view(np.int8))).tolist()
+        return [(x, y, int(self.starts[a + x] - self.offsets[d]), int(self.ends[a + y - 1] - self.offsets[d])) for x, y in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def _words_of(texts: list[bytes]) -> Iterator[_Words]:
+    for i, j in grouped(texts):
+        yield _Words(texts[i:j])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (runs of hit words and their bytes) and ``items`` (ids as strings, sorted)."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-total // broadcast_bytes) or 1
-    if blocks > 1:
-        items = written(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "items")
-    for block in range(blocks):
-        # bounded by broadcast_bytes (a single longer item is bounded by its own length)
-        rows = (items.where(F.col("block") == block) if blocks > 1 else items).select("item", "text").toArrow()
-        pairs = ((item.as_py() or "", text.as_py()) for item, text in zip(rows.column(0), rows.column(1), strict=True))
-        windows = spark.sparkContext.broadcast(Windows(pairs, n))
-        del rows, pairs
-        docs = _passed(docs, windows, block > 0)
-        if block < blocks - 1:
-            docs = written(docs, "decontaminated")
-    return docs
-
-
-def _passed(docs: DataFrame, windows, again: bool) -> DataFrame:
+    if total > broadcast_bytes:
+        return _joined(docs, items, n)
+    rows = items.toArrow()  # at most broadcast_bytes of text
+    pairs = ((item.as_py(), text.as_py()) for item, text in zip(rows.column(0), rows.column(1), strict=True))
+    windows = docs.sparkSession.sparkContext.broadcast(Windows(pairs, n))
+    del rows, pairs
+
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            found = windows.value.search([t.encode("utf-8", "surrogatepass") for t in texts_of(batch)])
-            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-            hits, items = ([[tuple(h.values()) for h in r] for r in column("hits")], column("items")) if again else ([[]] * len(found), [[]] * len(found))
-            return {
-                "n_words": [f[0] for f in found],
-                "hits": [[dict(zip(("first", "last", "start", "end"), r, strict=True)) for r in (merged(h, f[1]) if h else f[1])] for f, h in zip(found, hits, strict=True)],
-                "items": [sorted({*f[2], *i}) for f, i in zip(found, items, strict=True)],
-            }
+            return _columns(windows.value.search([t.encode("utf-8", "surrogatepass") for t in texts_of(batch)]))
 
         return step
 
     return with_columns_from(docs, HITS, make)
 
 
+def _columns(found: list[tuple]) -> dict[str, list]:
+    """The new columns from words, runs and items of each text."""
+    named = ("first", "last", "start", "end")
+    return {"n_words": [f[0] for f in found], "hits": [[dict(zip(named, r, strict=True)) for r in f[1]] for f in found], "items": [sorted(f[2]) for f in found]}
+
+
+def _joined(docs: DataFrame, items: DataFrame, n: int, bits: int = 27) -> DataFrame:
+    """As ``find``, with the windows as a table; ``bits``: the bitmap has so many address bits."""
+    spark = docs.sparkSession
+    shape = "h long, size int, words binary"
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(batches, 1, raw=True):
+            rows = []
+            for item, text in zip(ids.to_pylist(), texts, strict=True):
+                words = _Words([text])
+                if k := len(words.starts):
+                    h = ngrams(words.hashes, min(n, k)).view(np.int64).tolist()
+                    rows += [(item, x, min(n, k), words.text(i, min(n, k))) for i, x in enumerate(h)]
+            yield from table_of_rows(rows, ("item", "h", "size", "words"), (pa.string(), pa.int64(), pa.int32(), pa.binary())).to_batches()
+
+    windows = written(items.mapInArrow(windows_of, f"item string, {shape}").distinct(), "windows")
+    sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most n numbers
+    place = F.shiftrightunsigned("h", 64 - bits) + 1
+    marks = windows.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
+    packed = np.zeros(1 << max(bits - 3, 0), np.uint8)
+    for r in marks.toLocalIterator():  # as many bits as the bitmap has, whatever the input's size
+        part = np.frombuffer(r["map"], np.uint8)
+        at = (r["number"] - 1) * len(part)
+        packed[at : at + len(part)] = part[: len(packed) - at]
+    maybe = spark.sparkContext.broadcast(packed)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(maybe.value, bitorder="little").view(bool)
+        for digests, texts in slices(batches, 1, raw=True):
+            digest, rows = digests.to_pylist(), []
+            for d, text in enumerate(texts):
+                words = _Words([text])
+                for size in sizes:
+                    h, at = words.windows(size, marked)
+                    rows += [(digest[d], k, int(h[k].view(np.int64)), size, words.text(k, size)) for k in at.tolist()]
+            yield from table_of_rows(rows, ("digest", "first", "h", "size", "words"), (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())).to_batches()
+
+    texts = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    met = texts.mapInArrow(candidates, f"digest binary, first long, {shape}").join(windows, ["h", "size", "words"])
+    # sets, so that a text that many rows have is summed up before it is moved
+    by_text = met.groupBy("digest").agg(F.collect_set(F.struct("first", "size")).alias("__dc_at"), F.collect_set("item").alias("__dc_items"))
+    by_text = written(by_text.withColumnRenamed("digest", "__dc_digest"), "hits")
+    own = docs.columns
+    joined = docs.withColumn("__dc_own", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(by_text, F.col("__dc_own") == F.col("__dc_digest"), "left")
+    joined = joined.select(*quoted(own), "__dc_at", "__dc_items")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            places, who = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__dc_at", "__dc_items"))
+            found = []
+            for text, at, names in zip(texts_of(batch), places, who, strict=True):
+                words = _Words([text.encode("utf-8", "surrogatepass")])
+                delta = np.zeros(len(words.starts) + 1, np.int64)
+                for w in at or ():
+                    delta[w["first"]] += 1
+                    delta[w["first"] + w["size"]] -= 1
+                found.append((len(words.starts), words.runs(0, np.cumsum(delta[:-1]) > 0) if at else [], set(names or ())))
+            return _columns(found)
+
+        return step
+
+    return with_columns_from(joined, HITS, make).drop("__dc_at", "__dc_items")
+
+
 def n_hit() -> F.Column:
     """How many words of ``hits`` are hit."""
     return F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["last"] - h["first"])
