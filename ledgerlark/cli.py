@@ -14,13 +14,13 @@ from pyspark.sql import SparkSession
 
 from .functions.codec import topic_bytes
 from .functions.formats import elapsed, rate, share, size
-from .model import LEDGERS_A_SEGMENT
+from .model import LEDGERS_A_CHUNK, LEDGERS_A_SEGMENT
 from .operators import stats
 from .operators.extract import framed
 from .operators.ingest import ingest, summary
 from .operators.predicates import Filter
 from .operators.store import EventStore
-from .plans.query import Options, compare, decoded, to_json
+from .plans.query import Options, compare, to_json
 from .sources import settings
 from .sources.ledger_xdr import close_meta
 
@@ -51,6 +51,7 @@ def parser() -> Parser:
     for i in range(4):
         one.add_argument(f"--topic{i}", default="")
     one.add_argument("--limit", type=int, default=0)
+    one.add_argument("--include-raw", action="store_true", help="with the events' bytes as they were in the ledger, where the store keeps them")
     one.add_argument("--compare-db", default="", help="another store to run the query on, and compare")
     one.add_argument("--compare-format", default="", choices=["", *settings.FORMATS], help="how the other store keeps events; both are tables here, so it is only checked")
     one = commands.add_parser("stats", help="statistics of the store")
@@ -77,7 +78,7 @@ def open_store(spark: SparkSession, s: settings.Settings, path: str = "") -> Eve
 
 def run_ingest(spark: SparkSession, s: settings.Settings, a: argparse.Namespace) -> int:
     store = open_store(spark, s)
-    report = ingest(spark, s.ledger_dir, store, a.start, a.end, excluded(s.exclude_topic0), DECODERS[s.ledger_format], progress_path=s.progress_file, compact=s.final_compaction, keep_raw=s.event_format == "xdr")
+    report = ingest(spark, s.ledger_dir, store, a.start, a.end, excluded(s.exclude_topic0), DECODERS[s.ledger_format], progress_path=s.progress_file, step=s.batch_size * LEDGERS_A_CHUNK, compact=s.final_compaction, keep_raw=s.event_format == "xdr")
     text = summary(report, store)
     print(text, file=sys.stderr)
     with open(f"summary_{time.strftime('%Y%m%d_%H%M%S')}.txt", "w") as f:
@@ -97,11 +98,10 @@ def run_query(spark: SparkSession, s: settings.Settings, a: argparse.Namespace)
         raise Usage(str(e)) from e
 
     def found(store: EventStore):
-        q = store.query()
-        return q.scan(lo, hi, limit) if wanted.is_empty else q.run(wanted, lo, hi, Options(limit))
+        return store.query().results(wanted, lo, hi, Options(limit, include_raw=a.include_raw))
 
     store, began = open_store(spark, s), time.time()
-    rows = decoded(found(store)).collect()  # at most the limit
+    rows = found(store).collect()  # at most the limit
     first = time.time() - began
     print(to_json(rows))
     print(f"{len(rows)} events of ledgers {lo} to {hi} in {elapsed(first)} ({rate(len(rows), first):.1f}/s)", file=sys.stderr)
@@ -110,9 +110,9 @@ def run_query(spark: SparkSession, s: settings.Settings, a: argparse.Namespace)
         print(f"matching ledgers: {m.matching_ledgers} ({m.selectivity_percent:.4f} %), events scanned: {m.events_scanned}, bytes: {size(m.data_bytes)}", file=sys.stderr)
     if a.compare_db:
         other, began = open_store(spark, s, a.compare_db), time.time()
-        n = len(decoded(found(other)).collect())
+        n = len(found(other).collect())
         second = time.time() - began
-        same = compare(decoded(found(store)), decoded(found(other))).first()
+        same = compare(found(store), found(other)).first()
         here, there = (sum(t["bytes"] for t in x.snapshot()) for x in (store, other))
         print(f"other store: {n} events in {elapsed(second)}; {rate(first, second):.2f} times as fast; {elapsed(abs(first - second))} apart; size ratio {rate(there, here):.2f}", file=sys.stderr)
         if not same.same:

@@ -33,7 +33,7 @@ def decoded(events: DataFrame, include_raw: bool = False) -> DataFrame:
         base64_text(F.coalesce("data", F.lit(b""))).alias("data"),
         F.lower(F.hex("tx_hash")).alias("transaction_hash"),
         F.lit(None).cast("boolean").alias("successful"),
-        *([F.col("raw_xdr")] if include_raw else []),
+        *([base64_text(F.col("raw_xdr")).alias("raw_xdr")] if include_raw else []),
     )
 
 
@@ -65,6 +65,11 @@ class EventQuery:
             return self.ledgers(query, lo, hi).agg(F.count(F.lit(1)).alias("matching_ledgers"))
         return first_n(self.candidates(query, lo, hi).where(query.column()), options.limit)
 
+    def results(self, query: Filter, lo: int, hi: int, options: Options = Options()) -> DataFrame:
+        """What a query returns: its events, or those of the range for an empty filter, decoded, with raw bytes if asked for."""
+        rows = self.scan(lo, hi, options.limit) if query.is_empty else self.run(query, lo, hi, options)
+        return decoded(rows, options.include_raw)
+
     def scan(self, lo: int, hi: int, limit: int = 0) -> DataFrame:
         """All events of the range, in key order."""
         return first_n(self.events.where(in_ledgers(lo, hi)), limit)

@@ -25,6 +25,7 @@ class Settings:
     compression: str = "zstd"
     max_ledger_range: int = DEFAULT_RANGE
     default_limit: int = DEFAULT_LIMIT
+    #: Chunks of ledgers a job of ingest.
     batch_size: int = 100
     final_compaction: bool = True
     indexes: dict[str, bool] = field(default_factory=lambda: {"contract": True, "topics": True})

@@ -157,7 +157,9 @@ def test_commands(spark, tmp_path, folder, capsys, monkeypatch):
     code, out = run("ingest", "--end", "30")
     assert code == 0 and "not base64" in out.err and glob.glob("summary_*.txt")
     code, out = run("query", "2", "--limit", "3")
-    assert code == 0 and len(json.loads(out.out)) == 3
+    assert code == 0 and len(json.loads(out.out)) == 3 and "raw_xdr" not in json.loads(out.out)[0]
+    code, out = run("query", "2", "--limit", "1", "--include-raw")
+    assert code == 0 and __import__("base64").b64decode(json.loads(out.out)[0]["raw_xdr"])
     code, out = run("query", "2", "100", "--contract", contract_name(CONTRACT), "--topic0", __import__("base64").b64encode(c.symbol("burn")).decode(), "--compare-db", f"{tmp_path}/s")
     assert code == 0 and json.loads(out.out)[0]["contract_id"] == contract_name(CONTRACT) and "matching ledgers: 20" in out.err and "warning" not in out.err
     code, out = run("query", "500", "600")
