@@ -58,7 +58,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def word_vectors(docs: DataFrame, s: Settings = Settings(), fan_in: int = 16) -> np.ndarray:
+def word_vectors(docs: DataFrame, s: Settings = Settings(), fan_in: int = 4) -> np.ndarray:
     """The table of word vectors over all of ``docs``, each of length 1: words x size numbers, whatever the input's size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
