@@ -59,9 +59,9 @@ def test_ids_are_those_of_tokenizers(sample):
         assert np.frombuffer(raw, "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], x
 
 
-def test_long_whitespace_runs():
+def test_long_runs():
     t, encoder = Tokenizer.from_file(queries.tokenizer_path()), P.Encoder(queries.tokenizer_path(), 2)
-    for x in (" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", "x" + " \t\r\n" * 300_000, " " * P.LONG_BLANK + "a", "a" + " " * (P.LONG_BLANK + 1)):
+    for x in (" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", "x" + " \t\r\n" * 300_000, " " * P.LONG_BLANK + "a", "a" + " " * (P.LONG_BLANK + 1), " " * 2_000_000 + "a", "a" * 2_000_000, "7" * 2_000_000):
         assert np.frombuffer(encoder.ids(x), "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
 
 
@@ -93,7 +93,8 @@ def check(rows, texts, capacity):
 
 def test_pack(make_docs):
     texts = [None, *ODD, "word " * 500, "same", "same"]
-    check(P.pack(make_docs(texts), queries.tokenizer_path(), 32, rows_a_shard=5).collect(), dict(enumerate(texts)), 32)
+    clashing = make_docs(texts).selectExpr("*", "1 as piece", "'x' as shard", "3 as length", "4 as rank", "5 as `dotted.name`")
+    check(P.pack(clashing, queries.tokenizer_path(), 32, rows_a_shard=5).collect(), dict(enumerate(texts)), 32)
     assert P.pack(make_docs([]), queries.tokenizer_path(), 32).count() == 0
 
 
