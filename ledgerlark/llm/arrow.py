@@ -46,11 +46,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, *others: int, raw: bool = False) -> Iterator[tuple]:
-    """Of about a megabyte of texts at a time: the first column, the texts (null is empty; bytes if ``raw``), other columns by place."""
+def slices(batches: Iterator[pa.RecordBatch], text: int, *others: int, raw: bool = False, size: int = 20) -> Iterator[tuple]:
+    """Of about 2 ** ``size`` bytes of texts at a time: the first column, the texts (null is empty; bytes if ``raw``), other columns by place."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) >> 20, prepend=0)).tolist()
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) >> size, prepend=0)).tolist()
         for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
             if a < b:
                 part = batch.slice(a, b - a)

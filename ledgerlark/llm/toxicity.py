@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ class Settings:
     apart: float = 0.3
     penalty: float = 1.0
     #: Distinct words whose kernel values a task keeps.
-    known: int = 100_000
+    known: int = 200_000
 
 
 def coded(words: list[str], width: int) -> np.ndarray:
@@ -85,20 +86,24 @@ MARKS = "\"'.,;:!?()[]{}<>#*$%&|-_~`+=/@^"
 DROPPED = str.maketrans("", "", MARKS)
 
 
-def pieces(token: str) -> list[str]:
-    """A token without marks; a longer one in overlapping pieces."""
-    w = token if token.isalnum() else token.translate(DROPPED)
-    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST // 2)]
+def cleaned(tokens: list[str]) -> list[str]:
+    return [t if t.isalnum() else t.translate(DROPPED) for t in tokens]
 
 
-def tokens_of(text: str) -> list[str]:
-    """Lower-case tokens, those spelled letter by letter once more as one."""
-    low = text.lower()
-    return low.split() + ["".join(m[0].split()) for m in SPELLED.finditer(low)]
+def pieces(word: str) -> list[str]:
+    """A longer word in overlapping pieces."""
+    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST // 2)]
+
+
+def spelled(low: str) -> list[str]:
+    """Words that are spelled letter by letter."""
+    return ["".join(m[0].split()) for m in SPELLED.finditer(low)]
 
 
 def words_of(text: str) -> list[str]:
-    return [p for t in tokens_of(text) for p in pieces(t)]
+    """Lower-case words without marks, those spelled letter by letter once more as one."""
+    low = text.lower()
+    return [p for w in cleaned(low.split() + spelled(low)) for p in pieces(w)]
 
 
 class Features:
@@ -140,7 +145,7 @@ class Features:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         #: The powers of the values of known tokens; the first row is of none.
-        self.rows, self.long = np.zeros((1, len(self.names)), np.float32), {}
+        self.rows, self.used, self.long = np.zeros((1, len(self.names)), np.float32), 1, {}
 
     @property
     def size(self) -> int:
@@ -159,7 +164,7 @@ class Features:
         for n in np.unique(lengths[lengths >= 3]).tolist():
             x, y, z = np.array(list(combinations(range(n), 3))).T
             weight, of = self.s.decay ** (z - x + 1), np.nonzero(lengths == n)[0]
-            step = max(1, 400_000 // len(x))
+            step = max(1, 1_000_000 // len(x))
             for i in range(0, len(of), step):
                 w = of[i : i + step]
                 codes = coded([words[j] for j in w.tolist()], n)
@@ -173,9 +178,16 @@ class Features:
                 entry = np.repeat(self.first[hit] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
                 sums = np.bincount(np.repeat(r, many) * k + self.landmark[entry], self.weight[entry] * np.repeat(weight[c], many), len(w) * k).reshape(-1, k)
                 some = np.nonzero(sums.any(1))[0]
-                codes = codes[some]
-                own = np.sqrt(kernel(codes, codes, self.s.decay))
-                out[w[some]] = sums[some] / (own[:, None] * self.own)
+                out[w[some]] = sums[some] / (self.norms(codes[some], weight)[:, None] * self.own)
+        return out
+
+    def norms(self, codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The root of each word's kernel with itself; without a letter twice, every subsequence is another one."""
+        out = np.full(len(codes), np.sqrt((weight * weight).sum()))
+        ordered = np.sort(codes, axis=1)
+        twice = np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(1))
+        if len(twice):
+            out[twice] = np.sqrt(kernel(codes[twice], codes[twice], self.s.decay))
         return out
 
     def near(self, words: list[str]) -> dict[str, np.ndarray]:
@@ -184,32 +196,55 @@ class Features:
 
     def learn(self, tokens: list[str]) -> None:
         """Keeps the powers of the kernel values of new tokens; a longer one's pieces are kept under numbers of their own."""
-        for j in range(0, len(tokens), 20_000):
-            parts = {t: pieces(t) for t in tokens[j : j + 20_000]}
-            words = [w for p in parts.values() for w in p]
-            raw = self.values(words)
-            power, at, some = raw**self.s.power, len(self.rows), raw.any(1).tolist()
-            number = np.where(some, at - 1 + np.cumsum(some), 0).tolist()
-            self.rows = np.concatenate([self.rows, power[some]])
-            i = 0
-            for t, p in parts.items():
-                self.known[t] = number[i]
-                if len(p) > 1:
-                    self.known[t], self.long[t] = 0, number[i : i + len(p)]
-                i += len(p)
+        for j in range(0, len(tokens), 100_000):
+            part = tokens[j : j + 100_000]
+            words = cleaned(part)
+            long = [i for i, n in enumerate(map(len, words)) if n > LONGEST]
+            if long:
+                cut = {part[i]: pieces(words[i]) for i in long}
+                for i in long:
+                    words[i] = ""
+                new = sorted({p for ps in cut.values() for p in ps}.difference(self.known, part))
+                self.keep(new, new)
+            self.keep(part, words)
+            if long:
+                self.long |= {t: [self.known[p] for p in ps] for t, ps in cut.items()}
+
+    def keep(self, tokens: list[str], words: list[str]) -> None:
+        raw = self.values(words)
+        some = raw.any(1)
+        kept = int(some.sum())
+        if self.used + kept > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(kept, len(self.rows)), len(self.names)), np.float32)])
+        powers = raw = raw[some]
+        for _ in range(self.s.power - 1):
+            powers = powers * raw
+        self.rows[self.used : self.used + kept] = powers
+        self.known.update(zip(tokens, np.where(some, self.used - 1 + np.cumsum(some), 0).tolist(), strict=True))
+        self.used += kept
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """For each text and landmark the largest power of its words' values, and their sum."""
-        k = len(self.names)
-        out = np.zeros((len(texts), 2, k))
-        if len(self.rows) > self.s.known:
+        out = np.zeros((len(texts), 2, len(self.names)))
+        if self.used > self.s.known:
             self.clear()
-        cut = [tokens_of(t) for t in texts]
-        self.learn(sorted(set().union(*cut).difference(self.known)))
-        for d, tokens in enumerate(cut):
-            at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        lows = [t.lower() for t in texts]
+        cut = [low.split() for low in lows]
+        first = np.cumsum([0, *map(len, cut)])
+        codes, tokens = pd.factorize(np.array([t for c in cut for t in c], object))
+        # words spelled letter by letter are looked for where three letters follow one another
+        one = np.fromiter(map(len, tokens), np.int64, len(tokens))[codes] == 1 if len(codes) else np.zeros(0, bool)
+        runs = np.flatnonzero(one[:-2] & one[1:-1] & one[2:])
+        more = {d: spelled(lows[d]) for d in set((np.searchsorted(first, runs, "right") - 1).tolist())}
+        self.learn([t for t in dict.fromkeys([*tokens, *(w for ws in more.values() for w in ws)]) if t not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        for d in range(len(texts)):
+            at = number[codes[first[d] : first[d + 1]]]
+            extra = [n for w in more.get(d, ()) for n in self.long.get(w, [self.known[w]])]
             if self.long:
-                at = np.concatenate([at, np.array([n for t in tokens if t in self.long for n in self.long[t]], np.int64)])
+                extra += [n for t in cut[d] if t in self.long for n in self.long[t]]
+            if extra:
+                at = np.concatenate([at, np.array(extra, np.int64)])
             at = at[at > 0]
             for i in range(0, len(at), 4096):
                 rows = self.rows[at[i : i + 4096]]
@@ -326,7 +361,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, (w, bias, slope, shift) = (Features(*model.value[:2]), model.value[2]) if model else (None, (0, 0, 0, 0))
-        for ids, texts in slices(batches, 1):
+        for ids, texts in slices(batches, 1, size=22):
             y = sigmoid(slope * (f.of(texts) @ w + bias) + shift) if f else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([ids, pa.array(y, pa.float64())], names=["doc_id", "score"])
 
