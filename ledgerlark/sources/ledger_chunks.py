@@ -2,18 +2,20 @@
 
 A folder holds ``chunks/%04d/%06d.index`` and ``.data``: an index has a header of 8 bytes (version,
 offset width) and little-endian offsets, one more than there are ledgers; the data has one zstd
-frame a ledger. Files are read through Hadoop's file system on the driver (listing) and through
-pyarrow's or plain files on the executors, so the folder must be one that executors can open.
+frame a ledger. A folder is a path or the URI of any file system that pyarrow knows (``file``,
+``hdfs``, ``s3``, ``gs``, ...); driver and executors list and read it through that.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import struct
 from collections.abc import Iterator, Sequence
 
 import zstandard
+from pyarrow.fs import FileSelector, FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
@@ -21,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..model import CHUNKS_A_FOLDER, FIRST_LEDGER, LEDGERS_A_CHUNK
 
 HEADER, VERSION = 8, 1
+READ_BYTES = 4 << 20
 INDEX_NAME = re.compile(r"(\d{4})/(\d{6})\.index$")
 
 
@@ -50,18 +53,26 @@ def read_offsets(raw: bytes) -> list[int]:
     return list(struct.unpack_from(f"<{n}{'I' if raw[1] == 4 else 'Q'}", raw, HEADER))
 
 
+def located(folder: str) -> tuple[FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    return FileSystem.from_uri(folder) if "://" in folder else (LocalFileSystem(), folder)
+
+
 def read_chunk(folder: str, chunk: int, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
     """(ledger, payload) of the ledgers lo..hi of one chunk."""
-    with open(chunk_path(folder, chunk, "index"), "rb") as f:
+    files, root = located(folder)
+    with files.open_input_file(chunk_path(root, chunk, "index")) as f:
         offsets = read_offsets(f.read())
     start, decoder = first_ledger(chunk), zstandard.ZstdDecompressor()
     a, b = max(lo - start, 0), min(hi - start + 1, len(offsets) - 1)
     if a >= b:
         return
-    with open(chunk_path(folder, chunk, "data"), "rb") as f:
+    with files.open_input_file(chunk_path(root, chunk, "data")) as f:
+        f.seek(offsets[a])
+        # frames lie one behind another: few requests, whatever a ledger's size is
+        data = io.BufferedReader(f, READ_BYTES)
         for i in range(a, b):
-            f.seek(offsets[i])
-            with decoder.stream_reader(f.read(offsets[i + 1] - offsets[i])) as frame:
+            with decoder.stream_reader(data.read(offsets[i + 1] - offsets[i])) as frame:
                 yield start + i, frame.read()
 
 
@@ -87,10 +98,9 @@ def write_chunk(folder: str, chunk: int, payloads: Sequence[bytes], width: int =
 
 def list_chunks(folder: str) -> list[int]:
     """The numbers of the chunks that have an index, ascending."""
-    found = []
-    for parent, _, names in os.walk(f"{folder}/chunks"):
-        found += [int(m[2]) for n in names if (m := INDEX_NAME.search(f"{parent}/{n}"))]
-    return sorted(found)
+    files, root = located(folder)
+    found = files.get_file_info(FileSelector(f"{root}/chunks", recursive=True, allow_not_found=True))
+    return sorted(int(m[2]) for f in found if (m := INDEX_NAME.search(f.path)))
 
 
 def ledger_range(folder: str) -> tuple[int, int, int]:

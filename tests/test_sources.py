@@ -39,6 +39,12 @@ def test_point_reads(folder):
         L.read_ledger(folder, 50_000)
 
 
+def test_uris(spark, folder):
+    uri = f"file://{folder}"
+    assert L.list_chunks(uri) == L.list_chunks(folder) and L.read_ledger(uri, 10_004) == payload(10_004)
+    assert {r.ledger_sequence: bytes(r.raw) for r in L.read_ledgers(spark, uri).collect()} == {r.ledger_sequence: bytes(r.raw) for r in L.read_ledgers(spark, folder).collect()}
+
+
 def test_malformed_indexes():
     for raw in (b"", b"\2\4" + bytes(6), b"\1\3" + bytes(6)):
         with pytest.raises(ValueError):
