@@ -348,9 +348,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FITTED, strict=True)], names=list(NAMES))
 
         found = written(picked.mapInArrow(features, "doc_id long, label int, part int, parts int, x binary"), "fitted")
-        # at most max_rows texts and max_sentences sentences
-        hashed = found.where("part > 0").orderBy(F.xxhash64("doc_id", "part"), "doc_id", "part").limit(s.max_sentences)
-        got = found.where("part = 0").unionByName(hashed).toArrow().sort_by([("doc_id", "ascending"), ("part", "ascending")])
+        # at most max_rows texts and max_sentences sentences; which ones is settled on their hashes alone
+        order = F.xxhash64("doc_id", "part").alias("h")
+        last = found.where("part > 0").select(order).orderBy("h").limit(s.max_sentences).agg(F.max("h")).first()[0]
+        got = found.where((F.col("part") == 0) | (order <= F.lit(last))).toArrow().sort_by([("doc_id", "ascending"), ("part", "ascending")])
         y, part, parts = (got.column(c).to_numpy() for c in ("label", "part", "parts"))
         if set(y.tolist()) == {0, 1}:
             x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), -1)
