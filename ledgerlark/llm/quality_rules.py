@@ -134,7 +134,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> D
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("__qr_id")).where("__qr_id is not null").distinct()
     of = lambda df: _grams(df, rules).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    target = of(_may_be_among(docs.select("doc_id", "text"), ids).join(ids, F.col("doc_id") == F.col("__qr_id"), "left_semi"))
+    # an inner join with distinct ids: a semi-join would be pushed below the bitmaps, to where all texts are; one plan at every size
+    target = of(_may_be_among(docs.select("doc_id", "text"), ids).join(ids.hint("merge"), F.col("doc_id") == F.col("__qr_id")))
     zero = F.lit(0).cast("long")
     counts = of(docs.select("text")).select("b", F.col("n").alias("raw"), zero.alias("target")).unionByName(target.select("b", zero.alias("raw"), F.col("n").alias("target")))
     # absent buckets carry the smoothing alone
