@@ -80,7 +80,7 @@ def kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
 
 #: Three or more words of one character each, read as one word.
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-SENTENCE_END = re.compile(r"[.!?]\s|\n")
+SENTENCE_END = r"[.!?]\s|\n"
 #: Marks that count for nothing around a word or between its letters.
 MARKS = "\"'.,;:!?()[]{}<>#*$%&|-_~`+=/@^"
 DROPPED = str.maketrans("", "", MARKS)
@@ -317,13 +317,17 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, whole: np.ndarray,
     return w[:-1], float(w[-1]), slope, shift
 
 
-def sentences(text: str) -> list[str]:
-    """The parts of a text that have words."""
-    return [p for p in SENTENCE_END.split(text) if p and not p.isspace()]
+FITTED = {"doc_id": pa.int64(), "label": pa.int32(), "part": pa.int32(), "parts": pa.int32(), "x": pa.binary()}
 
 
-FITTED = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-NAMES = ("doc_id", "label", "part", "parts", "x")
+def fitted_on(picked: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, text, label, part, parts: each text (part 0) and, of all their sentences with words, those with the smallest hashes."""
+    parts = F.filter(F.split("text", SENTENCE_END), lambda p: F.rlike(p, F.lit("\\S")))
+    rows = picked.select("doc_id", "label", F.concat(F.array("text"), parts).alias("p"))
+    rows = rows.select("doc_id", "label", (F.size("p") - 1).alias("parts"), F.posexplode("p").alias("part", "text"))
+    order = F.xxhash64("doc_id", "part")
+    last = rows.where("part > 0").select(order.alias("h")).orderBy("h").limit(s.max_sentences).agg(F.max("h")).first()[0]
+    return rows.where((F.col("part") == 0) | (order <= F.lit(last))).select("doc_id", "text", "label", "part", "parts")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -339,25 +343,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = Features(*maker.value)
-            for ids, texts, labels in slices(batches, 1, 2):
-                for doc, text, label in zip(ids.to_pylist(), texts, labels.to_pylist(), strict=True):
-                    parts = sentences(text)
-                    rows = f.of([text, *parts]).astype(np.float32)
-                    n = len(rows)
-                    columns = (np.full(n, doc), np.full(n, label), np.arange(n), np.full(n, n), [r.tobytes() for r in rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FITTED, strict=True)], names=list(NAMES))
-
-        found = written(picked.mapInArrow(features, "doc_id long, label int, part int, parts int, x binary"), "fitted")
-        # at most max_rows texts and max_sentences sentences; which ones is settled on their hashes alone
-        order = F.xxhash64("doc_id", "part").alias("h")
-        last = found.where("part > 0").select(order).orderBy("h").limit(s.max_sentences).agg(F.max("h")).first()[0]
-        got = found.where((F.col("part") == 0) | (order <= F.lit(last))).toArrow().sort_by([("doc_id", "ascending"), ("part", "ascending")])
+            for ids, texts, *others in slices(batches, 1, 2, 3, 4):
+                x = f.of(texts).astype(np.float32)
+                columns = [ids, *others, pa.array([r.tobytes() for r in x])]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, FITTED.values(), strict=True)], names=list(FITTED))
+
+        # at most max_rows texts and max_sentences sentences
+        found = fitted_on(picked, s).mapInArrow(features, "doc_id long, label int, part int, parts int, x binary")
+        got = found.toArrow().sort_by([("doc_id", "ascending"), ("part", "ascending")])
         y, part, parts = (got.column(c).to_numpy() for c in ("label", "part", "parts"))
         if set(y.tolist()) == {0, 1}:
             x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), -1)
             # the sentences of a text count as much as the text, whatever share of them was taken
-            share = max(int((parts[part == 0] - 1).sum()), 1) / max(int((part > 0).sum()), 1)
-            weight = np.where(part > 0, share / np.maximum(parts - 1, 1), 1.0)
+            share = max(int(parts[part == 0].sum()), 1) / max(int((part > 0).sum()), 1)
+            weight = np.where(part > 0, share / np.maximum(parts, 1), 1.0)
             model = spark.sparkContext.broadcast((names, s, machine(x, y.astype(float), weight, part == 0, s.penalty)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -86,7 +87,8 @@ def test_scores_match_brute_force(spark, make_docs):
         raw = np.array([[k(w, n) for n in names] for w in T.words_of(text)] or [[0.0] * len(names)])
         return np.concatenate([raw.max(0) @ whiten, np.log1p(raw.sum(0)) @ whiten])
 
-    rows = [(features(p), y, 1.0 if j == 0 else 1 / len(T.sentences(texts[i])), j == 0) for i, y in labels for j, p in enumerate([texts[i], *T.sentences(texts[i])])]
+    cut = lambda t: [p for p in re.split(T.SENTENCE_END, t) if p.strip()]
+    rows = [(features(p), y, 1.0 if j == 0 else 1 / len(cut(texts[i])), j == 0) for i, y in labels for j, p in enumerate([texts[i], *cut(texts[i])])]
     x, y, weight, whole = (np.array(c) for c in zip(*rows, strict=True))
     w, bias, slope, shift = T.machine(x, y.astype(float), weight, whole, s.penalty)
     for i, t in enumerate(texts):
