@@ -28,10 +28,15 @@ def _values(events: DataFrame, codes: dict[str, int], names: Iterable[str] | Non
     return out.where(keep)
 
 
+def index_rows(events: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """The rows of the index, of all five names or of those given, as often as events have them."""
+    rows = _values(events, INDEX_PREFIXES, names, "segment_id", "ledger_sequence")
+    return rows.select(F.col("code").alias("prefix"), key32(F.col("value")).alias("key32"), "segment_id", "ledger_sequence").select(*LEDGER_INDEX.names)
+
+
 def build_index(events: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """The distinct rows of the index, of all five names or of those given."""
-    rows = _values(events, INDEX_PREFIXES, names, "segment_id", "ledger_sequence")
-    return rows.select(F.col("code").alias("prefix"), key32(F.col("value")).alias("key32"), "segment_id", "ledger_sequence").distinct().select(*LEDGER_INDEX.names)
+    return index_rows(events, names).distinct()
 
 
 def build_counts(events: DataFrame, names: Iterable[str] | None = None, *by: str) -> DataFrame:

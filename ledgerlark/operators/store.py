@@ -21,7 +21,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ from ..functions.formats import share
 from ..model import EVENTS, KEY, LEDGER_INDEX, VALUE_COUNTS
 from ..plans.query import EventQuery
 from . import stats
-from .index import build_counts, build_index, merge_counts
+from .index import VALUES, build_counts, index_rows, merge_counts
 from .predicates import without_topic0
 
 INDEX_ORDER = ("prefix", "key32", "ledger_sequence")
@@ -40,6 +40,8 @@ TABLES = tuple(SCHEMAS)
 MANIFESTS = "manifests"
 #: As a watermark: the last ledger of the events that are stored.
 LAST = -1
+#: Bytes of event rows that a task sorts and writes: their number grows with a table, not their size.
+TASK_BYTES = 128 << 20
 
 
 @dataclass
@@ -48,13 +50,36 @@ class TableSize:
     bytes: int = 0
 
 
-def last_written(events: DataFrame) -> DataFrame:
-    """Of the rows of one key, the stage left aside, the one with the largest write_seq."""
+def _last_written(dealt: DataFrame) -> DataFrame:
+    """``last_written`` of events that are dealt out by key, which are not moved again."""
     rest = [c for c in EVENTS.names if c not in ("segment_id", *KEY)]
-    kept = events.groupBy("segment_id", *KEY).agg(F.max_by(F.struct(*rest), "write_seq").alias("e"))
+    kept = dealt.groupBy("segment_id", *KEY).agg(F.max_by(F.struct(*rest), "write_seq").alias("e"))
     return kept.select("segment_id", *KEY, "e.*").select(*EVENTS.names)
 
 
+def last_written(events: DataFrame) -> DataFrame:
+    """Of the rows of one key, the stage left aside, the one with the largest write_seq."""
+    return _last_written(events)
+
+
+def _once(ranged: DataFrame) -> DataFrame:
+    """Distinct rows of an index that is dealt out in ranges, by the order in which they are written: only that is kept in memory."""
+    same = Window.partitionBy("segment_id", *INDEX_ORDER).orderBy("ledger_sequence")
+    return ranged.withColumn("n", F.row_number().over(same)).where(F.col("n") == 1).drop("n")
+
+
+def _parts(size: int | None, rows: int = 0, most_rows: int = 1) -> int:
+    """Of how many ranges of TASK_BYTES, and of at most so many rows, a table is."""
+    return max(1, -(-(size or 0) // TASK_BYTES), rows // most_rows)
+
+
+def row_bytes() -> Column:
+    """About the memory of an event's row: its fixed part, and its values with their padding."""
+    binary = [f.name for f in EVENTS if f.dataType == T.BinaryType()]
+    topics = F.aggregate("topics", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + 16)
+    return reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)) + 4 for c in binary], 8 * (len(EVENTS) + 4) + topics)
+
+
 class EventStore:
     def __init__(self, spark: SparkSession, path: str, compression: str = "zstd", indexes: Iterable[str] | None = None) -> None:
         self.spark, self.path, self.compression = spark, path.rstrip("/"), compression
@@ -146,11 +171,13 @@ class EventStore:
 
     # writing
 
-    def _write(self, df: DataFrame, name: str, version: str, parts: int | None = None, bloom: Sequence[str] = ()) -> None:
+    def _ranged(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
         # ranges, so that a file holds neighbours and its statistics exclude it from most lookups
-        keys = [F.col(c) for c in ("segment_id", *ORDERS[name])]
-        ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
-        writer = ranged.sortWithinPartitions(*keys).write.option("compression", self.compression)
+        keys = ("segment_id", *ORDERS[name])
+        return df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+
+    def _write(self, ranged: DataFrame, name: str, version: str, bloom: Sequence[str] = ()) -> None:
+        writer = ranged.sortWithinPartitions("segment_id", *ORDERS[name]).write.option("compression", self.compression)
         for c in bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.partitionBy("segment_id").parquet(f"{self.path}/{name}/version={version}")
@@ -159,13 +186,18 @@ class EventStore:
         """The counts of each segment's values."""
         return build_counts(events, self.indexes, "segment_id")
 
-    def _new_version(self, events: DataFrame, parts: int | None = None) -> str:
-        """Writes events, and index and counts that follow the events as written."""
+    def _new_version(self, rows: DataFrame, parts: int) -> str:
+        """Writes of ``rows`` the events last written, and index and counts that follow the events as written.
+
+        Rows are merged by key in the ranges that are written, ``parts`` of them; so are those of the index.
+        """
         version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        self._write(events, "events", version, parts, ("contract_id",))
+        self._write(_last_written(self._ranged(rows, "events", parts)), "events", version, ("contract_id",))
         written = self.spark.read.schema(EVENTS).parquet(f"{self.path}/events/version={version}")
-        self._write(build_index(written, self.indexes), "ledger_index", version, parts)
-        self._write(self._counted(written), "value_counts", version, parts)
+        self._write(_once(self._ranged(index_rows(written, self.indexes), "ledger_index", parts)), "ledger_index", version)
+        # dealt out by key, so that no task meets more values than those of its events
+        dealt = written.select("segment_id", *KEY, *VALUES.values()).repartition(parts, *KEY)
+        self._write(self._ranged(self._counted(dealt), "value_counts"), "value_counts", version)
         return version
 
     def _staged(self, df: DataFrame) -> tuple[DataFrame, str]:
@@ -186,13 +218,15 @@ class EventStore:
         stage = lambda name: F.count_if(F.coalesce(F.col("event_stage") == name, F.lit(False)))
         counted = staged.agg(
             F.count(F.lit(1)).alias("extracted"), F.count_if(~without_topic0(exclude_topic0)).alias("excluded"), stage("transaction").alias("transaction_events"), stage("operation").alias("operation_events"),
-            F.count_distinct("ledger_sequence", "transaction_index").alias("transactions"), F.max("ledger_sequence").alias("last"),
+            F.max("ledger_sequence").alias("last"), F.sum(row_bytes()).alias("bytes"),
         )
         done = counted.first().asDict()
-        last = done.pop("last")
+        last, parts = done.pop("last"), _parts(done.pop("bytes"))
+        transaction = ("ledger_sequence", "transaction_index")
+        done["transactions"] = staged.select(*transaction).repartition(parts, *transaction).distinct().count()
         new = staged.where(without_topic0(exclude_topic0))
         touched = [r[0] for r in new.select("segment_id").distinct().collect()]  # one number a million ledgers
-        version = self._new_version(last_written(new)) if touched else None
+        version = self._new_version(new, parts) if touched else None
         self._fs().delete(self._path(path), True)
         number, manifest = self._manifest()
         for s in touched:
@@ -224,14 +258,15 @@ class EventStore:
     def compact(self, target_rows: int = 5_000_000, clean: bool = True) -> list[dict]:
         """Makes every segment one version of fewer, sorted files; a row for each table with bytes before and after.
 
-        With ``clean``, files that no manifest names any more are deleted (readers that began before
+        A file has about ``target_rows`` events, or fewer where those are more than a task takes. With ``clean``, files that no manifest names any more are deleted (readers that began before
         may miss them).
         """
         number, manifest = self._manifest()
         before = {t: self.size(t) for t in TABLES}
         if manifest["segments"]:
-            events = self._events(manifest)
-            version = self._new_version(events, max(1, events.count() // target_rows))
+            rows = self._read("events", self._paths("events", manifest))
+            n, size = rows.agg(F.count(F.lit(1)), F.sum(row_bytes())).first()
+            version = self._new_version(rows, _parts(size, n, target_rows))
             whole = {s: [{"version": version, "tables": list(TABLES)}] for s in manifest["segments"]}
             self._publish(number, manifest | {"segments": whole})
             if clean:

@@ -3,6 +3,7 @@ import json
 
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from ledgerlark import cli
@@ -188,3 +189,52 @@ def test_prefixes_by_index_and_by_scan(spark, tmp_path, cut):
 
 def test_schema(spark, tmp_path):
     assert EventStore(spark, str(tmp_path)).events().schema == EVENTS and Filter().is_empty
+
+
+def largest_task(spark, work):
+    """Bytes of execution memory of the largest task of all jobs of ``work``."""
+    context, group = spark.sparkContext, f"largest-{id(work)}"
+    context.setJobGroup(group, group)
+    work()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    known, tracker, peaks = context._jsc.sc().statusStore(), context.statusTracker(), [0]
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        try:
+            tasks = known.taskList(stage, known.lastStageAttempt(stage).attemptId(), 100_000)
+        except Py4JJavaError:  # a stage that was skipped
+            continue
+        metrics = [tasks.apply(i).taskMetrics() for i in range(tasks.size())]
+        peaks += [m.get().peakExecutionMemory() for m in metrics if m.isDefined()]
+    return max(peaks)
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """A store of two versions, of 10,000 events of 32 KB in the second: 330 MB, which is more than a task's share."""
+    store = EventStore(spark, str(tmp_path_factory.mktemp("wide")))
+    events = contract_events(spark, SF.replace("0.001", "0.01")).withColumn("data", F.encode(F.repeat(F.sha2(F.col("write_seq").cast("string"), 256), 512), "UTF-8"))
+    first = events.where("ledger_sequence <= 40").withColumns({"event_type": F.lit(9).cast("byte"), "write_seq": F.col("write_seq") - 10})
+    store.upsert(first)
+    return store, events, largest_task(spark, lambda: store.upsert(events))
+
+
+def whole(store, events):
+    kept, index, counts = events.select(*KEY, "event_type", "data", "write_seq"), ix.build_index(events), ix.build_counts(events)
+    for got, right in ((store.events().select(*kept.columns), kept), (store.index(), index), (store.counts(), counts)):
+        assert got.count() == right.count() and got.exceptAll(right).count() == 0
+
+
+def test_no_task_of_a_write_grows_with_the_table(wide):
+    store, events, most = wide
+    assert most < 220e6
+    whole(store, events)
+
+
+def test_no_task_of_compaction_grows_with_the_table(spark, wide):
+    store, events, _ = wide
+    report = []
+    assert largest_task(spark, lambda: report.extend(store.compact())) < 220e6
+    assert [t["files_after"] > 1 for t in report[:2]] == [True, True]  # ranges of events and of the index
+    whole(store, events)
+    files = store.events().groupBy(F.input_file_name()).agg(F.min("ledger_sequence").alias("lo"), F.max("ledger_sequence").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi <= b.lo for a, b in zip(files, files[1:]))
