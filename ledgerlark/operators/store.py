@@ -58,8 +58,11 @@ def _last_written(dealt: DataFrame) -> DataFrame:
 
 
 def last_written(events: DataFrame) -> DataFrame:
-    """Of the rows of one key, the stage left aside, the one with the largest write_seq."""
-    return _last_written(events)
+    """Of the rows of one key, the stage left aside, the one with the largest write_seq.
+
+    They are dealt out first: few keys have several, and a task that sorted those it reads would keep them all.
+    """
+    return _last_written(events.repartition("segment_id", *KEY))
 
 
 def _once(ranged: DataFrame) -> DataFrame:
@@ -156,7 +159,8 @@ class EventStore:
     def index(self) -> DataFrame:
         manifest = self._manifest()[1]
         rows = self._read("ledger_index", self._paths("ledger_index", manifest))
-        return rows.distinct() if self._paths("ledger_index", manifest, False) else rows
+        # dealt out first: versions repeat few rows, and a task that compared those it reads would keep them all
+        return rows.repartition(*LEDGER_INDEX.names).distinct() if self._paths("ledger_index", manifest, False) else rows
 
     def counts(self) -> DataFrame:
         """Counts of values: the stored ones, and for segments of several versions those of their events."""

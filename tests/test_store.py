@@ -238,3 +238,15 @@ def test_no_task_of_compaction_grows_with_the_table(spark, wide):
     whole(store, events)
     files = store.events().groupBy(F.input_file_name()).agg(F.min("ledger_sequence").alias("lo"), F.max("ledger_sequence").alias("hi")).orderBy("lo").collect()
     assert all(a.hi <= b.lo for a, b in zip(files, files[1:]))
+
+
+def test_versions_are_merged_only_after_they_are_dealt_out(spark, tmp_path):
+    """A task that sorted or compared what it reads would keep a whole split, of which the keys differ."""
+    store, events = EventStore(spark, str(tmp_path / "s")), contract_events(spark, SF)
+    store.upsert(events.where("ledger_sequence <= 60"))
+    store.upsert(events.where("ledger_sequence >= 40").withColumn("write_seq", F.col("write_seq") + 1))
+    for read, right in ((store.events(), 1000), (store.index(), ix.build_index(events).count())):
+        planned = read._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" in planned.split("Exchange")[0] and "Aggregate" not in planned.split("Exchange")[-1] and "Sort" not in planned.split("Exchange")[-1]
+        assert read.count() == right
+    assert store.events().where("write_seq <> ledger_sequence * 10 + transaction_index - 21").count() == store.events().where("ledger_sequence >= 40").count()
