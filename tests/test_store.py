@@ -250,3 +250,13 @@ def test_versions_are_merged_only_after_they_are_dealt_out(spark, tmp_path):
         assert "Aggregate" in planned.split("Exchange")[0] and "Aggregate" not in planned.split("Exchange")[-1] and "Sort" not in planned.split("Exchange")[-1]
         assert read.count() == right
     assert store.events().where("write_seq <> ledger_sequence * 10 + transaction_index - 21").count() == store.events().where("ledger_sequence >= 40").count()
+
+
+def test_snapshot_and_filters_over_several_ranges(wide):
+    store, events, _ = wide
+    store.compact()
+    table = store.snapshot()[0]
+    assert (table["rows"], table["segments"], table["versions"]) == (10_000, 1, 1) and table["files"] > 1  # before: one file, of one task
+    one = bytes(events.first().contract_id)
+    for wanted in (Filter(one[:1]), Filter(one, (c.symbol("purchase"),))):
+        assert rows(store.query().run(wanted, 20, 900)) == rows(events.where(F.col("ledger_sequence").between(20, 900) & wanted.column()))
